@@ -7,11 +7,10 @@ minima or maxima, put documents into buckets.  At similarity 0.8 and with 44 ban
 pair of documents shares no bucket with probability (1 - 0.8^5)^44 < 3e-8.
 
 Documents of equal sets are one vertex from the start (by a 128-bit digest of the set).
-Buckets never emit all their pairs: a bucket's members are compared with its pivot, links
-are confirmed on the full sets, components are contracted, and only buckets that still hold
-several components go on, with another pivot for each.  When pivots find nothing new, the
-pairs of different components that are left within buckets are compared one by one; those
-are pairs that no link connects, so they are few.
+Buckets never emit all their pairs: a bucket's members are compared with its smallest
+document, links are confirmed on the full sets, and components are contracted.  Members of
+buckets that then still hold several components go through an exact prefix-filter join, which
+compares only sets of different components that share one of their rarest elements.
 
 Null and empty texts have an empty set and are linked with nothing.  A text of fewer words
 than a shingle has one element, its whole sequence.  Rows that repeat a doc_id each get a
@@ -22,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -126,6 +125,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def prefix_pairs(vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that can still reach the similarity: an exact candidate set.
+
+    Sets that reach it share an element among the first n - ceil(n * percent / 100) + 1 of
+    either, with elements in the order of their frequency.  Elements that only one set has come
+    first and make no pairs, so copies that differ by changes of their own drop out."""
+    each = sets.join(vertices, "v").select("v", "label", F.size("s").alias("n"), F.explode("s").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    by_set = Window.partitionBy("v")
+    placed = each.join(often, "h").select("v", "label", "n", "h", F.row_number().over(by_set.orderBy("df", "h")).alias("at"), F.count("*").over(by_set).alias("shared"))
+    prefix = placed.where(f"n - shared + at <= n - cast(ceil(n * {percent} / 100.0) as int) + 1")
+    one, two = (prefix.select("h", F.col("v").alias(x), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    alike = f"a < b and label_a <> label_b and 100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a"
+    return one.join(two, "h").where(alike).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = 44, per_band: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; doc_id must be an integer."""
     spark = docs.sparkSession
@@ -145,29 +160,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     tried = scratch.write(buckets.where("v <> pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b")).distinct())
     links = scratch.write(confirmed(tried, sets, percent))
     labels = components(links, scratch)
-    last = False
-    for turn in range(1, 1 << 20):
-        placed = buckets.select("bucket", "v").join(labels, F.col("v") == F.col("node"), "left").select("bucket", "v", F.coalesce("label", "v").alias("label"))
-        open_ = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64(F.col("v"), F.col("bucket"), F.lit(turn)), F.col("v"), F.col("label"))).alias("p")).where("lo < hi")
-        buckets = scratch.write(placed.join(open_.select("bucket", F.col("p.v").alias("pivot"), F.col("p.label").alias("at")), "bucket"))
-        if last:
-            left, right = buckets.select("bucket", F.col("v").alias("a"), F.col("label").alias("la")), buckets.select("bucket", F.col("v").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(right, "bucket").where("a < b and la <> lb").select("a", "b")
-        else:
-            pairs = buckets.where("label <> at").select(F.least("v", "pivot").alias("a"), F.greatest("v", "pivot").alias("b"))
-        new = scratch.write(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        found = scratch.write(confirmed(new, sets, percent))
-        if found.limit(1).count():
-            links = scratch.write(links.union(found))
-            labels = components(links, scratch)
-        elif last:
-            break
-        else:
-            last = True
-            continue
-        tried = scratch.write(tried.union(new))
-        if last:
-            break
+    placed = buckets.select("bucket", "v").join(labels, F.col("v") == F.col("node"), "left").select("bucket", "v", F.coalesce("label", "v").alias("label"))
+    unsettled = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    left = scratch.write(placed.join(unsettled, "bucket").select("v", "label").distinct())
+    rest = scratch.write(prefix_pairs(left, sets, percent).join(tried, ["a", "b"], "left_anti"))
+    labels = components(links.union(confirmed(rest, sets, percent)), scratch)
     of = signed_docs.groupBy("s1", "s2", "n_shingles").agg(vertex).where("n_shingles > 0")
     placed = of.join(labels, F.col("v") == F.col("node"), "left").select("s1", "s2", "n_shingles", F.coalesce("label", "v").alias("component"))
     joined = signed_docs.drop("keys").join(placed, ["s1", "s2", "n_shingles"], "left")
