@@ -1,9 +1,253 @@
-"""Search queries over the driver's tables."""
+"""Search queries over the driver's tables, and their SQL for DuckDB."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .operators import exact, index, render
+from .operators import search as S
+from .options import Case, Engine, Query
+from .plans import planner
+from .sources.corpus import Corpus
+from .sources.filters import Filter, ordered, scoped
+
+Q = Query.of
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> Corpus:
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("path", F.regexp_replace("url", r"^[a-z]+://|[?#].*$", ""))
+    return Corpus.from_table(df, "page_id", "html", "path")
+
+
+def _lines(df: DataFrame) -> DataFrame:
+    return df.select(F.col("file_id").alias("doc_id"), "line_number", "line")
+
+
+def _grep(q: Query):
+    return lambda spark, d: _lines(S.grep(_documents(spark, d), q))
+
+
+def _ids(df: DataFrame) -> DataFrame:
+    return df.select(F.col("file_id").alias("doc_id"))
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select(F.col("file_id").alias("doc_id"), "hits")
+
+
+LITERAL, WORD, ALTERNATION = "idiot", "the", ("license", "copyright", "rights reserved")
+REQUIRED = r"[a-z]+ (?:MIT|Apache) License"
+DIGITS = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
+
+
+def _by_index(spark: SparkSession, d: str, q: Query) -> Corpus:
+    corpus = _documents(spark, d)
+    ids = planner.narrow_in_place(corpus, q)
+    return Corpus(corpus.df.join(ids, "file_id", "left_semi"))
+
+
+def narrowed_search(spark: SparkSession, d: str) -> DataFrame:
+    q = Q(REQUIRED)
+    return _lines(S.grep(_by_index(spark, d, q), q))
+
+
+def narrowed_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _ids(planner.narrow_in_place(_documents(spark, d), Q(LITERAL)))
+
+
+def narrowed_ignore_case(spark: SparkSession, d: str) -> DataFrame:
+    q = Q(LITERAL, case=Case.INSENSITIVE)
+    return _lines(S.grep(_by_index(spark, d, q), q))
+
+
+def gram_index(spark: SparkSession, d: str) -> DataFrame:
+    return index.postings(_documents(spark, d), index.IndexRecord()).select(F.col("file_id").alias("doc_id"), "gram")
+
+
+def gram_df(spark: SparkSession, d: str) -> DataFrame:
+    return index.postings(_documents(spark, d), index.IndexRecord(norm="ascii-lower")).groupBy("gram").agg(F.count("*").alias("df"))
+
+
+def lazy_merge(spark: SparkSession, d: str) -> DataFrame:
+    """An index that holds the even ids; the others are found by the walk that is merged in."""
+    corpus, q = _documents(spark, d), Q(LITERAL)
+    known = Corpus(corpus.df.where("file_id % 2 = 0"))
+    hits = planner.narrow_in_place(known, q)
+    rest = corpus.df.select("file_id").join(known.df.select("file_id"), "file_id", "left_anti")
+    return _lines(S.grep(Corpus(corpus.df.join(hits.unionByName(rest), "file_id", "left_semi")), q))
+
+
+def byte_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return S.grep(_documents(spark, d), Q(LITERAL), with_offsets=True).select(F.col("file_id").alias("doc_id"), "line_number", "byte_offset", "line")
+
+
+def match_columns(spark: SparkSession, d: str) -> DataFrame:
+    return S.columns(_documents(spark, d), Q(LITERAL)).select(F.col("file_id").alias("doc_id"), "line_number", F.col("column").alias("col"), "line")
+
+
+def context_before_after(spark: SparkSession, d: str) -> DataFrame:
+    return S.context(_documents(spark, d), Q(LITERAL, before=1, after=2)).select(F.col("file_id").alias("doc_id"), "line_number", "kind", "breaks", "line")
+
+
+def passthru(spark: SparkSession, d: str) -> DataFrame:
+    return S.context(_documents(spark, d), Q(WORD, word=True, unicode=False, passthru=True)).select(F.col("file_id").alias("doc_id"), "line_number", "kind", "line")
+
+
+def only_matching(spark: SparkSession, d: str) -> DataFrame:
+    return S.only_matching(_documents(spark, d), Q(DIGITS)).select(F.col("file_id").alias("doc_id"), "line_number", "match_number", "matched")
+
+
+def replace_captures(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(S.replaced(_documents(spark, d), Q(r"(?P<user>[a-z]+)\.([0-9]+)@", replace="<${2}_$user>@")))
+
+
+def type_glob_filter(spark: SparkSession, d: str) -> DataFrame:
+    rules = Filter(globs=["*example.com/**", "!**/fr/*"])
+    df = _pages(spark, d).df
+    return df.where(rules.column(F.col("path"))).select(F.col("file_id").alias("page_id"), "path")
+
+
+def scope_filter(spark: SparkSession, d: str) -> DataFrame:
+    df = _pages(spark, d).df.withColumn("path", F.concat(F.element_at(F.split("path", "/"), 2), F.lit("/"), F.col("path")))
+    return scoped(df, ["en"]).select(F.col("file_id").alias("page_id"), "path")
+
+
+def sort_path(spark: SparkSession, d: str) -> DataFrame:
+    return ordered(_pages(spark, d).df, descending=True).select(F.col("file_id").alias("page_id"), "path")
+
+
+def conversation_grep(spark: SparkSession, d: str) -> DataFrame:
+    df = spark.read.parquet(f"{d}/conversations.parquet").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
+    return S.grep(Corpus.from_table(df, "key", "text"), Q("the", word=True, unicode=False)).select(F.col("file_id").alias("turn_key"), "line_number", "line")
+
+
+def events_json_grep(spark: SparkSession, d: str) -> DataFrame:
+    df = spark.read.parquet(f"{d}/events.parquet")
+    return S.grep(Corpus.from_table(df, "event_id", "props"), Q(r"[0-9]{2}")).select(F.col("file_id").alias("event_id"), "line")
+
+
+def multiline_spans(spark: SparkSession, d: str) -> DataFrame:
+    q = Q(r"\.\n[A-Z][a-z]+ the", multiline=True)
+    return _hits(exact.count_spans(_documents(spark, d), q))
+
+
+def exact_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The exact tier on a query that the native tier also answers."""
+    return exact.scan(_documents(spark, d), Q(LITERAL)).where("kind = 'match'").select(F.col("file_id").alias("doc_id"), "line_number", "byte_offset", "line")
+
+
+def rendered_text(spark: SparkSession, d: str) -> DataFrame:
+    return render.text(exact.scan(_documents(spark, d), Q(LITERAL)), offset=True).select(F.col("file_id").alias("doc_id"), "rendered")
+
+
+def rendered_json(spark: SparkSession, d: str) -> DataFrame:
+    return render.json_lines(exact.scan(_documents(spark, d), Q(LITERAL))).select(F.col("file_id").alias("doc_id"), "seq", "rendered")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    doc = _documents
+    return {
+        "grep_literal": _grep(Q("the")),
+        "grep_fixed": _grep(Q("2.0.", fixed=True)),
+        "grep_ignore_case": _grep(Q(LITERAL, case=Case.INSENSITIVE)),
+        "grep_smart_case": _grep(Q("apache license", case=Case.SMART)),
+        "grep_word": _grep(Q(WORD, word=True, unicode=False)),
+        "grep_line_regexp": _grep(Q(r"[A-Z][a-z]+\.", line=True)),
+        "grep_multi_pattern": _grep(Q(*ALTERNATION)),
+        "grep_alternation_ignore_case": _grep(Q(*ALTERNATION, case=Case.INSENSITIVE)),
+        "grep_regex_required_literal": _grep(Q(REQUIRED)),
+        "grep_no_literal": _grep(Q(DIGITS)),
+        "grep_pcre2_lookbehind": _grep(Q(r"(?<=the )idiot", engine=Engine.PCRE2)),
+        "grep_auto_engine": _grep(Q(r"(?<=the )idiot", engine=Engine.AUTO)),
+        "grep_unicode_class": _grep(Q(r"\p{Lu}ß|ß\p{Lu}|\p{Greek}|[[:upper:]--[A-Y]]")),
+        "grep_invert": _grep(Q("e", invert=True)),
+        "grep_max_count": _grep(Q("the", max_count=2)),
+        "count_lines": lambda s, d: _hits(S.count_lines(doc(s, d), Q("the"))),
+        "count_matches": lambda s, d: _hits(S.count_matches(doc(s, d), Q("the"))),
+        "count_include_zero": lambda s, d: _hits(S.count_lines(doc(s, d), Q(LITERAL), include_zero=True)),
+        "count_matches_include_zero": lambda s, d: _hits(S.count_matches(doc(s, d), Q(LITERAL), include_zero=True)),
+        "files_with_matches": lambda s, d: _ids(S.files_with_matches(doc(s, d), Q(LITERAL))),
+        "files_without_match": lambda s, d: _ids(S.files_without_match(doc(s, d), Q("the"))),
+        "paths_listing": lambda s, d: S.paths(doc(s, d)).select(F.col("file_id").alias("doc_id"), "path"),
+        "search_stats": lambda s, d: S.stats(doc(s, d), Q("the")),
+        **{f.__name__: f for f in (only_matching, replace_captures, byte_offsets, match_columns, context_before_after, passthru, gram_index, gram_df, narrowed_candidates, narrowed_search, narrowed_ignore_case, lazy_merge, type_glob_filter, scope_filter, sort_path, conversation_grep, events_json_grep, multiline_spans, exact_lines, rendered_text, rendered_json)},
+    }
+
+
+_L = """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, unnest(a) AS line, unnest(generate_series(1, len(a))) AS k, len(a) AS n FROM p),
+l AS (SELECT doc_id, CAST(k AS BIGINT) AS line_number, line FROM q WHERE NOT (k = n AND line = '')) """
+
+
+def _where(rule: str) -> str:
+    return f"{_L} SELECT doc_id, line_number, line FROM l WHERE {rule}"
+
+
+_THE = "regexp_matches(line, '(^|[^0-9A-Za-z_])the([^0-9A-Za-z_]|$)')"
+
+
+def oracle_sql() -> dict[str, str]:
+    alternation = "license|copyright|rights reserved"
+    gram = """WITH RECURSIVE b AS (SELECT doc_id, {text} AS h, octet_length({raw}) AS n FROM documents),
+    w AS (SELECT doc_id, h, unnest(generate_series(1, n - 2)) AS k FROM b WHERE n >= 3)
+    SELECT DISTINCT doc_id, CAST(('0x' || substr(h, CAST(2 * k - 1 AS INTEGER), 6)) AS BIGINT) AS gram FROM w"""
+    identity = gram.format(text="hex(encode(text))", raw="encode(text)")
+    fold = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(8490) || chr(383), 'abcdefghijklmnopqrstuvwxyzks')"
+    lower = gram.format(text=f"hex(encode({fold}))", raw=f"encode({fold})")
+    pages = "SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages"
+    context = f"""{_L}, h AS (SELECT *, contains(line, '{LITERAL}') AS hit FROM l),
+    c AS (SELECT *, max(hit::INT) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS above, max(hit::INT) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS below FROM h),
+    k AS (SELECT doc_id, line_number, CASE WHEN hit THEN 'match' WHEN above = 1 THEN 'after' WHEN below = 1 THEN 'before' END AS kind, line FROM c)
+    SELECT doc_id, line_number, kind, coalesce(line_number - lag(line_number) OVER (PARTITION BY doc_id ORDER BY line_number) > 1, false) AS breaks, line FROM k WHERE kind IS NOT NULL"""
+    return {
+        "grep_literal": _where("contains(line, 'the')"),
+        "grep_fixed": _where("contains(line, '2.0.')"),
+        "grep_ignore_case": _where(f"regexp_matches(line, '{LITERAL}', 'i')"),
+        "grep_smart_case": _where("regexp_matches(line, 'apache license', 'i')"),
+        "grep_word": _where(_THE),
+        "grep_line_regexp": _where(r"regexp_full_match(line, '[A-Z][a-z]+\.')"),
+        "grep_multi_pattern": _where(f"regexp_matches(line, '{alternation}')"),
+        "grep_alternation_ignore_case": _where(f"regexp_matches(line, '{alternation}', 'i')"),
+        "grep_regex_required_literal": _where(f"regexp_matches(line, '{REQUIRED}')"),
+        "grep_no_literal": _where(f"regexp_matches(line, '{DIGITS}')"),
+        "grep_pcre2_lookbehind": _where("contains(line, 'the idiot')"),
+        "grep_auto_engine": _where("contains(line, 'the idiot')"),
+        "grep_unicode_class": _where(r"regexp_matches(line, '\p{Lu}ß|ß\p{Lu}|\p{Greek}|Z')"),
+        "grep_invert": _where("NOT contains(line, 'e')"),
+        "grep_max_count": f"{_L} SELECT doc_id, line_number, line FROM l WHERE contains(line, 'the') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_number) <= 2",
+        "count_lines": f"{_L} SELECT doc_id, count(*) AS hits FROM l WHERE contains(line, 'the') GROUP BY doc_id",
+        "count_matches": f"{_L} SELECT doc_id, CAST(sum(len(regexp_extract_all(line, 'the'))) AS BIGINT) AS hits FROM l WHERE contains(line, 'the') GROUP BY doc_id",
+        "count_include_zero": f"{_L}, c AS (SELECT doc_id, count(*) AS hits FROM l WHERE contains(line, '{LITERAL}') GROUP BY doc_id) SELECT doc_id, coalesce(hits, 0) AS hits FROM documents LEFT JOIN c USING (doc_id)",
+        "count_matches_include_zero": f"{_L}, c AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(line, '{LITERAL}'))) AS BIGINT) AS hits FROM l GROUP BY doc_id) SELECT doc_id, coalesce(hits, 0) AS hits FROM documents LEFT JOIN c USING (doc_id)",
+        "files_with_matches": f"SELECT doc_id FROM documents WHERE contains(text, '{LITERAL}')",
+        "files_without_match": "SELECT doc_id FROM documents WHERE text IS NULL OR NOT contains(text, 'the')",
+        "paths_listing": "SELECT doc_id, CAST(doc_id AS VARCHAR) AS path FROM documents",
+        "search_stats": f"{_L}, c AS (SELECT doc_id, count(*) AS n FROM l WHERE contains(line, 'the') GROUP BY doc_id) SELECT CAST((SELECT sum(n) FROM c) AS BIGINT) AS matches, (SELECT count(*) FROM c) AS files_with_matches, count(*) AS files_searched, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes_searched FROM documents",
+        "only_matching": f"{_L}, m AS (SELECT doc_id, line_number, regexp_extract_all(line, '{DIGITS}') AS a FROM l) SELECT doc_id, line_number, CAST(unnest(generate_series(1, len(a))) AS BIGINT) AS match_number, unnest(a) AS matched FROM m WHERE len(a) > 0",
+        "replace_captures": _L + r" SELECT doc_id, line_number, regexp_replace(line, '([a-z]+)\.([0-9]+)@', '<\2_\1>@', 'g') AS line FROM l WHERE regexp_matches(line, '([a-z]+)\.([0-9]+)@')",
+        "byte_offsets": f"{_L}, o AS (SELECT *, CAST(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS BIGINT) AS byte_offset FROM l) SELECT doc_id, line_number, byte_offset, line FROM o WHERE contains(line, '{LITERAL}')",
+        "match_columns": f"{_L} SELECT doc_id, line_number, CAST(strlen(substr(line, 1, strpos(line, '{LITERAL}') - 1)) + 1 AS BIGINT) AS col, line FROM l WHERE contains(line, '{LITERAL}')",
+        "context_before_after": context,
+        "passthru": f"{_L} SELECT doc_id, line_number, CASE WHEN {_THE} THEN 'match' ELSE 'other' END AS kind, line FROM l",
+        "gram_index": identity,
+        "gram_df": f"SELECT gram, count(*) AS df FROM ({lower}) GROUP BY gram",
+        "narrowed_candidates": f"SELECT doc_id FROM (SELECT doc_id, count(DISTINCT gram) AS c FROM ({identity}) WHERE gram IN (6906985, 6580591, 6909812) GROUP BY doc_id) WHERE c = 3 UNION SELECT doc_id FROM documents WHERE text IS NULL OR strlen(text) < 3",
+        "narrowed_search": _where(f"regexp_matches(line, '{REQUIRED}')"),
+        "narrowed_ignore_case": _where(f"regexp_matches(line, '{LITERAL}', 'i')"),
+        "lazy_merge": _where(f"contains(line, '{LITERAL}')"),
+        "type_glob_filter": f"SELECT page_id, path FROM ({pages}) WHERE regexp_matches(path, '^[^/]*example[.]com/.+$') AND NOT regexp_matches(path, '(^|/)fr/[^/]+(/.*)?$') AND NOT regexp_matches(path, '(^|/)[.][^/]')",
+        "scope_filter": f"SELECT page_id, split_part(path, '/', 2) || '/' || path AS path FROM ({pages}) WHERE split_part(path, '/', 2) = 'en'",
+        "sort_path": pages,
+        "conversation_grep": f"WITH p AS (SELECT conv_id * 1000 + turn AS turn_key, string_split(text, chr(10)) AS a FROM conversations), q AS (SELECT turn_key, unnest(a) AS line, unnest(generate_series(1, len(a))) AS k, len(a) AS n FROM p) SELECT turn_key, CAST(k AS BIGINT) AS line_number, line FROM q WHERE NOT (k = n AND line = '') AND {_THE}",
+        "events_json_grep": "SELECT event_id, props AS line FROM events WHERE regexp_matches(props, '[0-9]{2}')",
+        "multiline_spans": r"SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '\.\n[A-Z][a-z]+ the')) AS BIGINT) AS hits FROM documents) WHERE hits > 0",
+        "exact_lines": f"{_L}, o AS (SELECT *, CAST(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS BIGINT) AS byte_offset FROM l) SELECT doc_id, line_number, byte_offset, line FROM o WHERE contains(line, '{LITERAL}')",
+        "rendered_text": f"{_L}, o AS (SELECT *, CAST(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS BIGINT) AS byte_offset FROM l) SELECT doc_id, doc_id || ':' || line_number || ':' || byte_offset || ':' || line AS rendered FROM o WHERE contains(line, '{LITERAL}')",
+    }
