@@ -9,8 +9,9 @@ pair of documents shares no bucket with probability (1 - 0.8^5)^44 < 3e-8.
 Documents of equal sets are one vertex from the start (by a 128-bit digest of the set).
 Buckets never emit all their pairs: a bucket's members are compared with its smallest
 document, links are confirmed on the full sets, and components are contracted.  Members of
-buckets that then still hold several components go through an exact prefix-filter join, which
-compares only sets of different components that share one of their rarest elements.
+buckets that then still hold several components go through an exact prefix filter, which
+compares only sets of different components that share one of their rarest elements: by
+candidate pairs where few sets share it, in blocks that emit links only where many do.
 
 Null and empty texts have an empty set and are linked with nothing.  A text of fewer words
 than a shingle has one element, its whole sequence.  Rows that repeat a doc_id each get a
@@ -125,20 +126,76 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def prefix_pairs(vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels that can still reach the similarity: an exact candidate set.
+#: Elements that more prefixes than this share are compared in blocks, not by emitted pairs.
+CROWD = 16
+#: Sets of a block, about.
+BLOCK = 200
 
-    Sets that reach it share an element among the first n - ceil(n * percent / 100) + 1 of
-    either, with elements in the order of their frequency.  Elements that only one set has come
-    first and make no pairs, so copies that differ by changes of their own drop out."""
+
+def prefixes(vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """h, v, label, n: the elements by which a set can still be found.
+
+    Sets that reach the similarity share an element among the first n - ceil(n * percent / 100) + 1
+    of either, with elements in the order of their frequency.  Elements that only one set has
+    come first and are of no use, so copies that differ by changes of their own drop out."""
     each = sets.join(vertices, "v").select("v", "label", F.size("s").alias("n"), F.explode("s").alias("h"))
     often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     by_set = Window.partitionBy("v")
     placed = each.join(often, "h").select("v", "label", "n", "h", F.row_number().over(by_set.orderBy("df", "h")).alias("at"), F.count("*").over(by_set).alias("shared"))
-    prefix = placed.where(f"n - shared + at <= n - cast(ceil(n * {percent} / 100.0) as int) + 1")
-    one, two = (prefix.select("h", F.col("v").alias(x), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    return placed.where(f"n - shared + at <= n - cast(ceil(n * {percent} / 100.0) as int) + 1").select("h", "v", "label", "n")
+
+
+def _linked(percent: int):
+    def compare(table: pa.Table) -> pa.Table:
+        """Links between the sets of two blocks, or within one."""
+        v, label, block = (table.column(c).to_numpy() for c in ("v", "label", "block"))
+        s = table.column("s").combine_chunks()
+        values, at = s.values.to_numpy(), s.offsets.to_numpy()
+        values, size = values[at[0] : at[-1]], np.diff(at)
+        row = np.repeat(np.arange(len(v)), size)
+        _, element, times = np.unique(values, return_inverse=True, return_counts=True)
+        shared = times[element] > 1
+        row, element = row[shared], np.unique(element[shared], return_inverse=True)[1]
+        one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        both = np.zeros((len(one), len(two)), np.float32)
+        order = np.argsort(element, kind="stable")
+        row, element = row[order], element[order]
+        for lo in range(0, int(element[-1]) + 1 if len(element) else 0, 4096):
+            i, j = np.searchsorted(element, [lo, lo + 4096])
+            has = np.zeros((len(v), 4096), np.float32)
+            has[row[i:j], element[i:j] - lo] = 1
+            both += has[one] @ has[two].T
+        union = size[one][:, None] + size[two][None, :] - both
+        x, y = np.nonzero((100 * both >= percent * union) & (label[one][:, None] != label[two][None, :]))
+        x, y = v[one[x]], v[two[y]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return compare
+
+
+def settle(vertices: DataFrame, sets: DataFrame, tried: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between vertices of different labels, exactly.
+
+    Elements of few prefixes give candidate pairs, at most CROWD / 2 a prefix row.  Prefixes that
+    share a crowded element belong to one family; a family's sets are dealt into blocks, and
+    each pair of blocks is compared by one product of their membership matrices, which emits
+    links only."""
+    prefix = scratch.write(prefixes(vertices, sets, percent))
+    width = prefix.groupBy("h").agg(F.count("*").alias("c"), F.min("v").alias("head"))
+    few = prefix.join(width.where(f"c between 2 and {CROWD}").select("h"), "h")
+    one, two = (few.select("h", F.col("v").alias(x), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     alike = f"a < b and label_a <> label_b and 100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a"
-    return one.join(two, "h").where(alike).select("a", "b").distinct()
+    pairs = one.join(two, "h").where(alike).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    links = confirmed(scratch.write(pairs), sets, percent)
+    crowds = scratch.write(prefix.join(width.where(f"c > {CROWD}").select("h", "head"), "h").select(F.col("v").alias("a"), F.col("head").alias("b")).distinct())
+    if not crowds.limit(1).count():
+        return links
+    families = components(crowds, scratch).select(F.col("node").alias("v"), F.col("label").alias("family"))
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks"))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("v", "family", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    rows = dealt.join(vertices, "v").join(sets, "v").select("family", "i", "j", "block", "v", "label", "s")
+    return links.union(rows.groupBy("family", "i", "j").applyInArrow(_linked(percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = 44, per_band: int = 5) -> DataFrame:
@@ -163,8 +220,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     placed = buckets.select("bucket", "v").join(labels, F.col("v") == F.col("node"), "left").select("bucket", "v", F.coalesce("label", "v").alias("label"))
     unsettled = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     left = scratch.write(placed.join(unsettled, "bucket").select("v", "label").distinct())
-    rest = scratch.write(prefix_pairs(left, sets, percent).join(tried, ["a", "b"], "left_anti"))
-    labels = components(links.union(confirmed(rest, sets, percent)), scratch)
+    labels = components(links.union(settle(left, sets, tried, percent, scratch)), scratch)
     of = signed_docs.groupBy("s1", "s2", "n_shingles").agg(vertex).where("n_shingles > 0")
     placed = of.join(labels, F.col("v") == F.col("node"), "left").select("s1", "s2", "n_shingles", F.coalesce("label", "v").alias("component"))
     joined = signed_docs.drop("keys").join(placed, ["s1", "s2", "n_shingles"], "left")
