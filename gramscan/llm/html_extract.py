@@ -13,7 +13,8 @@ Hosts are dealt in groups of about ``group`` pages, so that a host of any size i
 in one task.
 
 Blocks: text between tags that break lines.  Character references are decoded, white space
-inside a block becomes one space, blocks are trimmed and joined by a newline in page order.
+and ``br`` inside a block become one space, blocks are trimmed and joined by two newlines in
+page order.
 Null and empty pages give an empty text.
 """
 
@@ -102,6 +103,10 @@ def blocks(page: str) -> tuple[list[str], bool]:
         if found[2] is None:
             continue
         name = found[2].lower()
+        if name == "br":
+            if not skip:
+                piece.append(" ")
+            continue
         if found[1]:
             if name not in _INLINE:
                 flush()
@@ -219,7 +224,7 @@ def extract(pages: DataFrame, least: int = 8, share: float = 0.8, group: int = 5
 
     def texts(batches):
         for batch in batches:
-            out = ["\n".join(blocks(h)[0]) if h else "" for h in batch.column("html").to_pylist()]
+            out = ["\n\n".join(blocks(h)[0]) if h else "" for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     def streams(batches):
@@ -228,7 +233,7 @@ def extract(pages: DataFrame, least: int = 8, share: float = 0.8, group: int = 5
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "part")), pa.array(out, pa.list_(pa.string()))], names=["page_id", "url", "host", "part", "blocks"])
 
     def strip(table: pa.Table) -> pa.Table:
-        out = ["\n".join(b) for b in unique_blocks(table.column("blocks").to_pylist(), least, share)]
+        out = ["\n\n".join(b) for b in unique_blocks(table.column("blocks").to_pylist(), least, share)]
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(out, pa.string())})
 
     plain = rows.where(is_marked).mapInArrow(texts, f"page_id {kind}, url string, text string")

@@ -61,6 +61,11 @@ class Words:
     row: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # index of each row's first word, with one more entry at the end
+    sums: np.ndarray  # of the polynomial, up to each byte
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges, which depend on their bytes only."""
+        return mix((self.sums[end] - self.sums[start]) * _tables(len(self.buf) + 1)[1][start] + (end - start).astype(_U))
 
     def text(self, i: int) -> str:
         return self.buf[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
@@ -101,12 +106,13 @@ def words_of(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE
     edge[offsets] = True
     start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
     end = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-    power, inverse = _tables(n + 1)
+    power, _ = _tables(n + 1)
     sums = np.zeros(n + 1, _U)
     np.cumsum((buf.astype(_U) + _U(1)) * power[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U))
     first = np.searchsorted(start, offsets).astype(np.int64)
-    return Words(n_rows, buf, start, end, np.repeat(np.arange(n_rows), np.diff(first)), hashes, first)
+    out = Words(n_rows, buf, start, end, np.repeat(np.arange(n_rows), np.diff(first)), sums[:0], first, sums)
+    out.hash = out.span(start, end)
+    return out
 
 
 def word_runs(column: pa.Array, separator: np.ndarray = SPACE, lower: bool = True, most: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:

@@ -1,9 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
 Two interpolated Kneser-Ney bigram models, one of toxic and one of ordinary labelled
-texts, give each document two log-likelihoods.  Their difference a word, the part of it
-that comes from words with a clear preference, and the text's length go through a logistic
-curve fitted on labelled rows that were not counted.
+texts, give each document two log-likelihoods.  Their difference a word, the parts of it
+that come from words and from rare words with a clear preference, and the text's length go
+through a logistic curve fitted on labelled rows that were not counted.
 
     P_c(w | h) = max(c_c(h w) - D, 0) / c_c(h .) + g_c(h) P_c(w)
     P_c(w)     = l(w) max(N_c(. w) - D, 0) / N_c(. .) + rest P(w)
@@ -14,6 +14,10 @@ predecessors of both classes together.  ``l(w) = N / (N + shared)`` with N the p
 of both classes: a rare expression leans on the shared backoff and gets nearly the same
 probability from either model, so it can't move the score by chance.
 
+A word seen too rarely to have counts of its own is counted as its longest beginning that has
+them (``STEMS`` bytes), in both models; how often the word follows from that beginning is shared
+by them and cancels.  So inflected and compounded forms share the counts of their stem.
+
 The classifier is fitted on a bounded sample: at most ``rows_per_class`` labelled rows of
 each class (the smallest hashes of doc_id), a vocabulary of at most ``max_words`` words and
 at most ``max_bigrams`` pairs (the most frequent ones of the sample).  The model is
@@ -34,15 +38,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fresh, keep_rows
-from .textops import NOT_ALNUM, signed, word_runs
+from .textops import NOT_ALNUM, Words, mix, signed, word_runs
 
 DISCOUNT = 0.75
 #: How many sightings of an expression weigh as much as the shared backoff.
 SHARED = 5.0
-#: Words with fewer predecessors and pairs in fewer sampled documents count as unknown.
+#: Words with fewer predecessors, and beginnings and pairs in fewer sampled documents count as unknown.
 WORD_SEEN, PAIR_SEEN = 20, 200
+#: Of the logistic curve, for each row.
+RIDGE = 1e-3
+#: Lengths in bytes of the beginnings that rare words back off to, the longest first.
+STEMS = (9, 8, 7, 6, 5, 4, 3)
 #: Log ratios up to here also come from a language or a topic that one class has more of.
-MARGIN = 0.5
+MARGIN = 0.75
 
 
 def held_out(doc_id: Column) -> Column:
@@ -50,6 +58,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def stems(w: Words, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first ``size`` bytes of the given words, and which of them are that long."""
+    at = at[w.end[at] - w.start[at] >= size]
+    return mix(w.span(w.start[at], w.start[at] + size) ^ np.uint64(size)), at
+
+
 @dataclass
 class Model:
     vocab: np.ndarray  # sorted word hashes
@@ -58,14 +72,25 @@ class Model:
     pairs: np.ndarray  # sorted h * (words + 1) + w
     pair: np.ndarray  # [2, pairs + 1]: the discounted share, the last is 0
     curve: np.ndarray  # weights of features()
+    margin: float
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        """Places in the vocabulary; its size for unknown ones."""
+        v = len(self.vocab)
+        if not v:
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.vocab, h), v - 1)
+        return np.where(self.vocab[at] == h, at, v)
 
-    def difference(self, w) -> np.ndarray:
-        """By row: log-likelihood toxic less ordinary a word, its part beyond MARGIN, and the number of words."""
+    def difference(self, w: Words) -> np.ndarray:
+        """By row: log-likelihood toxic less ordinary a word, its parts beyond MARGIN from words and from beginnings of rare words, and the number of words."""
         n = np.diff(w.first)
         v = len(self.vocab)
-        ids = np.searchsorted(self.vocab, w.hash)
-        ids[ids == v] = 0
-        ids = np.where(self.vocab[ids] == w.hash, ids, v) if v else np.full(len(w.hash), 0)
+        ids = self.ids(w.hash)
+        rare = ids == v
+        for size in STEMS:
+            h, at = stems(w, size, np.flatnonzero(ids == v))
+            ids[at] = self.ids(h)
         p = self.word[:, ids]
         if len(ids) > 1:
             key = ids[:-1] * (v + 1) + ids[1:]
@@ -78,8 +103,9 @@ class Model:
             for c in (0, 1):
                 p[c, 1:] = np.where(inner, self.pair[c, at] + self.back[c, ids[:-1]] * p[c, 1:], p[c, 1:])
         ratio = np.log(p[1]) - np.log(p[0])
-        parts = np.stack([ratio, np.maximum(ratio - MARGIN, 0)])
-        sums = np.concatenate([np.zeros((2, 1)), np.cumsum(parts, axis=1)], axis=1)
+        beyond = np.maximum(ratio - self.margin, 0)
+        parts = np.stack([ratio, np.where(rare, 0, beyond), np.where(rare, beyond, 0)])
+        sums = np.concatenate([np.zeros((3, 1)), np.cumsum(parts, axis=1)], axis=1)
         mean = (sums[:, w.first[1:]] - sums[:, w.first[:-1]]) / np.maximum(n, 1)
         return np.stack([*mean, n.astype(float)])
 
@@ -90,13 +116,12 @@ class Model:
         return out
 
 
-def features(mean: np.ndarray, beyond: np.ndarray, n: np.ndarray) -> np.ndarray:
-    size = np.log1p(n)
-    return np.stack([np.ones_like(mean), mean, beyond, np.log1p(beyond * n), size], axis=1)
+def features(mean: np.ndarray, words: np.ndarray, rare: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones_like(mean), mean, words, np.log1p(words * n), rare, np.log1p(rare * n), np.log1p(n)], axis=1)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """Of (text, toxic): words (h null) and pairs with their counts in either class."""
+    """Of (text, toxic): words and beginnings of words (h null; stem: the length of these, else 0) and pairs, with the documents of either class that hold them."""
 
     def run(batches):
         for batch in batches:
@@ -104,9 +129,12 @@ def _counted(docs: DataFrame) -> DataFrame:
             for lo, hi, w in word_runs(batch.column("text"), NOT_ALNUM, most=4 << 20):
                 of = toxic[lo:hi][w.row]
                 inner = w.row[:-1] == w.row[1:]
-                for single, h, x, y in ((True, None, w.hash, of), (False, w.hash[:-1][inner], w.hash[1:][inner], of[1:][inner])):
-                    rows = w.row if h is None else w.row[1:][inner]
-                    h = np.zeros(len(x), np.uint64) if h is None else h
+                units = [(0, np.zeros(len(w.hash), np.uint64), w.hash, np.arange(len(w.hash))), (-1, w.hash[:-1][inner], w.hash[1:][inner], np.flatnonzero(inner) + 1)]
+                for size in STEMS:
+                    x, at = stems(w, size, np.arange(len(w.hash)))
+                    units.append((size, np.zeros(len(x), np.uint64), x, at))
+                for stem, h, x, at in units:
+                    rows, y = w.row[at], of[at]
                     order = np.lexsort((rows, x, h))
                     h, x, y, rows = h[order], x[order], y[order], rows[order]
                     change = lambda *of: np.concatenate([[True], np.any([k[1:] != k[:-1] for k in of], axis=0)]) if len(x) else np.zeros(0, bool)  # noqa: B023, E731
@@ -116,9 +144,9 @@ def _counted(docs: DataFrame) -> DataFrame:
                     at = np.flatnonzero(new)
                     if len(at):
                         n, n1 = np.diff(np.append(at, len(x))), np.add.reduceat(y, at)
-                        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()) if single else pa.array(signed(h[at])), pa.array(signed(x[at])), pa.array((n - n1).astype(np.int64)), pa.array(n1.astype(np.int64))], names=["h", "w", "n0", "n1"])
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])) if stem < 0 else pa.nulls(len(at), pa.int64()), pa.array(signed(x[at])), pa.array(np.full(len(at), max(stem, 0), np.int32)), pa.array((n - n1).astype(np.int64)), pa.array(n1.astype(np.int64))], names=["h", "w", "stem", "n0", "n1"])
 
-    return docs.mapInArrow(run, "h long, w long, n0 long, n1 long").groupBy("h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return docs.mapInArrow(run, "h long, w long, stem int, n0 long, n1 long").groupBy("h", "w", "stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def _frame(df: DataFrame) -> dict[str, np.ndarray]:
@@ -141,7 +169,7 @@ def models(words: dict, pairs: dict, totals: np.ndarray, lean: float = SHARED) -
     own = seen.sum(0)
     trust = np.append(own / (own + lean), 0)
     for c in (0, 1):
-        share = np.append(np.maximum(seen[c] - DISCOUNT, 0), 0) / max(totals[c], 1)
+        share = np.append(np.maximum(seen[c] - DISCOUNT, 0), 0) / max(totals[c], seen[c].sum(), 1)  # beginnings count beside words
         freed = 1 - share.sum() if totals[c] else 1
         word[c] = trust * share + (1 - trust + trust * freed) * shared
         word[c] /= word[c].sum()
@@ -158,17 +186,17 @@ def models(words: dict, pairs: dict, totals: np.ndarray, lean: float = SHARED) -
         share = both / (both + lean) * np.maximum(pairs[name][ok].astype(float) - DISCOUNT, 0) / of[hi[ok]]
         np.subtract.at(back[c], hi[ok], share)
         pair[c, :-1] = share[by]
-    return Model(vocab, word, np.maximum(back, 1e-6), key[by], pair, np.zeros(5))
+    return Model(vocab, word, np.maximum(back, 1e-6), key[by], pair, np.zeros(7), MARGIN)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = 30) -> np.ndarray:
     """Newton steps of a weighted logistic regression with a small ridge."""
     mean, width = x[:, 1:].mean(0), x[:, 1:].std(0) + 1e-9
     z = np.column_stack([x[:, 0], (x[:, 1:] - mean) / width])
     b = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge * len(y) * 0.01 * np.eye(len(b)), z.T @ (weight * (y - p)) - ridge * len(y) * 0.01 * b)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge * len(y) * np.eye(len(b)), z.T @ (weight * (y - p)) - ridge * len(y) * b)
         b += step
         if np.abs(step).max() < 1e-8:
             break
@@ -184,9 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 5000, max_word
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(share) < 2:
         return None
-    most = min(rows_per_class, *share.values())  # as many rows of either class: numbers of distinct predecessors grow less than texts
-    some = [r for c in (0, 1) for r in known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-    chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"], k % 4 == 0) for k, r in enumerate(some)], "doc_id long, toxic int, curve boolean"))
+    most = min(rows_per_class, *share.values())  # counted are as many rows of either class: numbers of distinct predecessors grow less than texts
+    some = [(r["doc_id"], c, k % 4 == 0 or k >= most) for c in (0, 1) for k, r in enumerate(known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class).collect())]
+    chosen = F.broadcast(spark.createDataFrame(some, "doc_id long, toxic int, curve boolean"))
     sample = fresh(docs, "doc_id", "text").join(chosen, "doc_id")
     counts = _counted(sample.where("not curve")).persist()
     pairs = counts.where("h is not null")
@@ -194,7 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 5000, max_word
     after = pairs.groupBy(F.col("h").alias("w")).agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"))
     total = pairs.agg(F.sum((F.col("n0") > 0).cast("long")).alias("a"), F.sum((F.col("n1") > 0).cast("long")).alias("b")).first()
     often = F.col("n0") + F.col("n1")
-    words = counts.where("h is null").select("w", "n0", "n1").where(often >= 2).orderBy(often.desc(), "w").limit(max_words).join(before.where(F.col("d0") + F.col("d1") >= WORD_SEEN), "w").join(after, "w", "left").fillna(0)
+    units = counts.where("h is null").where(often >= 2).orderBy(often.desc(), "w").limit(max_words).join(before, "w", "left").join(after, "w", "left").fillna(0)
+    seen = [F.when(F.col("stem") > 0, F.col(f"n{c}")).otherwise(F.col(f"d{c}")).alias(f"d{c}") for c in (0, 1)]
+    words = units.select("w", *seen, "s0", "s1").where(F.col("d0") + F.col("d1") >= WORD_SEEN)
     model = models(_frame(words), _frame(pairs.where(often >= PAIR_SEEN).orderBy(often.desc(), "h", "w").limit(max_bigrams)), np.array([total["a"] or 0, total["b"] or 0]))
     counts.unpersist()
 
@@ -202,14 +232,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 5000, max_word
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(float)
             for lo, hi, w in word_runs(batch.column("text"), NOT_ALNUM):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, model.difference(w)), pa.array(toxic[lo:hi])], names=["mean", "beyond", "n", "y"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, model.difference(w)), pa.array(toxic[lo:hi])], names=["mean", "words", "rare", "n", "y"])
 
-    seen = _frame(sample.where("curve").mapInArrow(measure, "mean double, beyond double, n double, y double"))
+    seen = _frame(sample.where("curve").mapInArrow(measure, "mean double, words double, rare double, n double, y double"))
     if not {0.0, 1.0} <= set(seen["y"]):
         return None
     y = seen["y"]
     weight = np.where(y == 1, share[1] / max(y.sum(), 1), share[0] / max((1 - y).sum(), 1))
-    model.curve = logistic(features(seen["mean"], seen["beyond"], seen["n"]), y, weight / weight.mean())
+    model.curve = logistic(features(*(seen[c] for c in ("mean", "words", "rare", "n"))), y, weight / weight.mean())
     return model
 
 

@@ -13,7 +13,8 @@ bounded, pointer jumping from offset 0 keeps the candidates that a chain of succ
 Magic inside a payload is never a successor and goes.
 
 The archives live in a table in the shared folder (archive, offset, bytes), so any store
-that Spark reaches will do.  Null html is an empty payload.
+that Spark reaches will do.  Null html is an empty payload; rows that repeat a page_id each
+get a record of their own, and equal ones of the smallest page_id are all responses.
 """
 
 from __future__ import annotations
@@ -33,18 +34,6 @@ from .shared import Scratch, fresh, small
 MAGIC = b"WARC/1.1\r\n"
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """page_id, key (SHA-256), n of every row's payload."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            data = [h or b"" for h in batch.column("payload").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([hashlib.sha256(d).digest() for d in data], pa.binary()), pa.array([len(d) for d in data], pa.int64())], names=["page_id", "key", "n"])
-
-    return fresh(pages, "page_id", "payload").mapInArrow(run, f"page_id {kind}, key binary, n long")
-
-
 def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     body = b"" if refers_to is not None else payload
@@ -153,12 +142,13 @@ def read(chunks: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes every page and reads it back: page_id, payload_bytes, payload_digest, record_type, refers_to, sound."""
-    rows = fresh(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = fresh(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"))
+    rows = rows.withColumns({"key": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload")})
     scratch = Scratch(pages.sparkSession, "warc")
-    each = scratch.write(digests(rows))
-    first = each.where(F.col("n") >= least).groupBy("key", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "n", "first")
+    first = rows.where(F.col("size") >= least).groupBy("key", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "size", "first")
     first = scratch.write(first)
-    revisits = scratch.write(each.join(small(first, first.count(), 64), ["key", "n"]).where("page_id <> first").select(F.col("page_id").alias("id"), F.col("first").alias("refers_to")).distinct())
-    joined = rows.join(small(revisits, revisits.count(), 24), F.col("page_id") == F.col("id"), "left").select("page_id", "url", "payload", "refers_to")
+    refers = F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to")
+    joined = rows.join(small(first, first.count(), 64), ["key", "size"], "left").select("page_id", "url", "payload", refers)
     chunks = scratch.write(write(joined))
     return read(chunks).select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "sound")

@@ -211,7 +211,7 @@ def test_html(spark):
         (4, None, None), (5, "http://h/5", ""), (6, "x", "plain text"), (7, "http://h/7", "<article>cut &am"),
     ]
     got = table(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
-    assert got[1]["text"] == "A & B\none two\nthree four" and got[2]["text"] == "unique words of the second page only"
+    assert got[1]["text"] == "A & B\n\none two\n\nthree four" and got[2]["text"] == "unique words of the second page only"
     assert got[3]["text"].startswith("third") and [got[i]["text"] for i in (4, 5, 6, 7)] == ["", "", "plain text", "cut &am"]
     assert got[1]["n_chars"] == len(got[1]["text"])
 
