@@ -1,123 +1,161 @@
-"""Cross-entropy difference between a target and a background n-gram model.
+"""Cross-entropy difference between a target and a background bigram model of words.
 
-Both models are interpolated trigram models over one shared vocabulary, the 256 byte
-values of UTF-8 (with 0 as the two tokens before a text).  Their counts are exact and come
-from whole texts: the background from every document, the target from every document whose
-id is in the target table.  A document's score is the mean over its tokens of
-``-log P_target + log P_background``; lower means closer to the target.
+Both models share one vocabulary, all words of the corpus, and have the same form:
 
-The vocabulary bounds a model to 256^3 trigrams whatever the corpus, so counting needs one
-shuffle of per-task sums, and the sums (at most 16.7 million) fit the driver and a broadcast.
-Words would need tables that grow with the corpus and a shuffle of all tokens for each use.
+    P(w | h) = (n(h w) + k P(w)) / (n(h .) + k)
 
-Witten-Bell interpolation: P(c|ab) = (n(abc) + t(ab) P(c|b)) / (n(ab) + t(ab)), t = number
-of distinct continuations; likewise down to a uniform distribution.
+with k = ``LEAN``.  The background is counted over every document, and its P(w) is n(w) / n; the
+target is counted over the documents whose ids are in the target table, and its P(w) leans on the
+background's likewise: (n(w) + k P_background(w)) / (n + k).  A document's score is the mean over
+its tokens of ``-log P_target + log P_background``; lower means closer to the target.  A document
+of the target doesn't vouch for itself: its own counts are taken off the target's first.
 
-Null and empty texts have no tokens and get the score 0.  Without target rows both models
-see only smoothing on the target's side: the score is then against the uniform distribution.
+Tables of words and pairs grow with the corpus, so no task ever holds them all:
+
+1. Tasks cut their rows into chunks of about ``CHUNK`` bytes of text.  A chunk sends each owner one
+   sorted list of the hashes in the owner's range (words, histories, pairs) with its counts.
+2. An owner adds up its lists and answers each with the totals, in the list's order.  There are as
+   many owners as input partitions, or more, so an owner has about what one partition sends.
+3. Answers meet the chunk's texts, whose tokens look their totals up by position.
+
+A frequent word or pair occurs once in a list, however often the chunk holds it, so no key is hot.
+Hashes have 64 bits; a collision, of which a trillion keys have some 30,000, merges two counts.
+
+Null and empty texts have no tokens and get the score 0.  Without target rows P_target is the
+background's P(w).  Rows that repeat a doc_id count one by one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, small
-from .textops import raw, runs
-
-CELLS = 1 << 24
-
-
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram of each byte of the rows, the row of each, and the rows' lengths."""
-    buf, offsets = raw(column)
-    size = np.diff(offsets)
-    row = np.repeat(np.arange(len(size), dtype=np.int64), size)
-    padded = np.zeros(len(buf) + 2 * len(size), np.int32)
-    at = np.arange(len(buf)) + 2 * (row + 1)
-    padded[at] = buf
-    return (padded[at - 2] << 16) | (padded[at - 1] << 8) | padded[at], row, size
-
-
-def count(docs: DataFrame, target: DataFrame | None = None) -> DataFrame:
-    """gram, n (background), m (target) over all rows; target: ids, each counted once."""
-    rows = fresh(docs, "doc_id", "text")
-    if target is None:
-        rows = rows.withColumn("wanted", F.lit(True))
-    else:
-        ids = target.select(F.col("doc_id"), F.lit(True).alias("wanted")).where("doc_id is not null").distinct()
-        rows = rows.join(small(ids, ids.count(), 16), "doc_id", "left")
-    rows = rows.select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-
-    def run(batches):
-        sums = np.zeros((2, CELLS), np.int32)
-        for batch in batches:
-            text, wanted = batch.column("text"), batch.column("wanted").to_numpy(zero_copy_only=False)
-            _, offsets = raw(text)
-            for lo, hi in runs(offsets, 8 << 20):
-                gram, row, _ = tokens(text.slice(lo, hi - lo))
-                of = wanted[lo:hi][row]
-                for k, part in ((0, gram), (1, gram[of])):
-                    if len(part) > CELLS // 16:
-                        sums[k] += np.bincount(part, minlength=CELLS).astype(np.int32)
-                    else:
-                        at, n = np.unique(part, return_counts=True)
-                        sums[k][at] += n.astype(np.int32)
-        at = np.flatnonzero(sums[0])
-        for lo in range(0, len(at), 1 << 18):
-            x = at[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(sums[0][x].astype(np.int64)), pa.array(sums[1][x].astype(np.int64))], names=["gram", "n", "m"])
-
-    return rows.mapInArrow(run, "gram int, n long, m long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-
-
-def log_probabilities(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log P of the given trigrams, and the parts A[ab], B[bc] whose sum is log P(c|ab) of any other."""
-    has = n > 0
-    of = lambda key, size: (np.bincount(key[has], n[has], size), np.bincount(key[has], None, size))
-    n_ab, t_ab = of(gram >> 8, 1 << 16)
-    n_bc = of(gram & 0xFFFF, 1 << 16)[0].reshape(256, 256)
-    n_b, t_b = n_bc.sum(1, keepdims=True), (n_bc > 0).sum(1, keepdims=True)
-    n_c = n_bc.sum(0)
-    p_c = (n_c + 1.0) / (n_c.sum() + 256)
-    p_bc = ((n_bc + np.maximum(t_b, 1) * p_c) / (n_b + np.maximum(t_b, 1))).ravel()
-    t = np.maximum(t_ab, 1)
-    a, b = np.log(t / (n_ab + t)), np.log(p_bc)
-    ab = gram >> 8
-    return np.log((n + t[ab] * p_bc[gram & 0xFFFF]) / (n_ab[ab] + t[ab])), a, b
-
-
-def difference(gram: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Loss differences of the given trigrams and, as A[ab] + B[bc], of all others."""
-    background, a0, b0 = log_probabilities(gram, n)
-    target, a1, b1 = log_probabilities(gram, m)
-    return tuple(x.astype(np.float32) for x in (background - target, a0 - a1, b0 - b1))
-
-
-def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ce_diff for every row."""
-    table = counts.toArrow()
-    gram, n, m = (table.column(c).to_numpy() for c in ("gram", "n", "m"))
-    order = np.argsort(gram)
-    gram = gram[order].astype(np.int32)
-    model = docs.sparkSession.sparkContext.broadcast((gram, *difference(gram, n[order], m[order])))
-    rows = fresh(docs, "doc_id", "text")
+from .shared import Scratch, fresh, small
+from .textops import NOT_ALNUM, mix, word_runs
+
+_U = np.uint64
+#: What the backoff weighs, in tokens.
+LEAN = 50.0
+#: Bytes of text.
+CHUNK = 16 << 20
+
+
+def layout(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each row; the sorted keys of all words, histories and pairs; [3, tokens]: each token's places in them."""
+    got = [(w.hash, np.diff(w.first)) for _, _, w in word_runs(column, NOT_ALNUM)]
+    word = np.concatenate([x for x, _ in got]) if got else np.zeros(0, _U)
+    size = np.concatenate([x for _, x in got]) if got else np.zeros(0, np.int64)
+    before = np.zeros(len(word), _U)
+    before[1:] = word[:-1]
+    before[(np.cumsum(size) - size)[size > 0]] = 0  # a text begins
+    pair = mix(mix(before ^ _U(3)) * _U(0x9E3779B97F4A7C15) ^ word)
+    keys, at = np.unique(np.concatenate([mix(word ^ _U(1)), mix(before ^ _U(2)), pair]), return_inverse=True)
+    return size, keys, at.reshape(3, -1)
+
+
+_LISTS = "text string, wanted boolean, n_tokens long, chunk long, owner int, keys binary, n binary, m binary, list int"
+
+
+def _listed(rows: DataFrame, owners: int) -> DataFrame:
+    """A row for each document (list 0) and for each list of a chunk (list 1)."""
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_LISTS}"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def lists(batches: list[pa.RecordBatch], chunk: int):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        wanted = table.column("wanted").to_numpy()
+        size, keys, at = layout(table.column("text"))
+        count, none = len(table), lambda n, t: pa.nulls(n, t)
+        n = np.bincount(at.ravel(), minlength=len(keys)).astype(np.int64)
+        m = np.bincount(at[:, np.repeat(wanted, size)].ravel(), minlength=len(keys)).astype(np.int64)
+        columns = [table.column("doc_id"), table.column("text"), table.column("wanted"), pa.array(size.astype(np.int64)), pa.array(np.full(count, chunk))]
+        columns += [none(count, t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())] + [pa.array(np.zeros(count, np.int32))]
+        yield from pa.table(columns, names=names).to_batches(max_chunksize=2000)
+        owner = (((keys >> _U(32)) * _U(owners)) >> _U(32)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(owner, prepend=-1, append=owners))
+        parts = [[x[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)] for x in (keys, n, m)]
+        k = len(cut) - 1
+        if k > 0:
+            columns = [none(k, table.schema.field("doc_id").type), none(k, pa.string()), none(k, pa.bool_()), none(k, pa.int64()), pa.array(np.full(k, chunk)), pa.array(owner[cut[:-1]].astype(np.int32)), *(pa.array(p, pa.binary()) for p in parts), pa.array(np.ones(k, np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches):
-        cells = None
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            if cells is None:
-                seen, value, a, b = model.value
-                cells = (a.reshape(256, 256, 1) + b.reshape(1, 256, 256)).ravel()
-                cells[seen] = value
-            text = batch.column("text")
-            _, offsets = raw(text)
-            mean, size = np.zeros(len(text)), np.diff(offsets)
-            for lo, hi in runs(offsets, 1 << 20):
-                grams, row, k = tokens(text.slice(lo, hi - lo))
-                mean[lo:hi] = np.bincount(row, cells[grams], hi - lo) / np.maximum(k, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(mean)], names=["doc_id", "n_tokens", "ce_diff"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ce_diff double")
+            step = max(1, len(batch) * CHUNK // max(batch.column("text").nbytes, 1))
+            for lo in range(0, len(batch), step):
+                part = batch.slice(lo, step)
+                if held and size + part.column("text").nbytes > CHUNK * 3 // 2:
+                    yield from lists(held, chunk)
+                    chunk, held, size = chunk + 1, [], 0
+                held.append(part)
+                size += part.column("text").nbytes
+        if held:
+            yield from lists(held, chunk)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """Of one owner's lists: the sums over all lists, for each list."""
+    keys, n, m = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", _U), ("n", np.int64), ("m", np.int64)))
+    end = np.cumsum([len(k) // 8 for k in table.column("keys").to_pylist()])
+    at = np.unique(keys, return_inverse=True)[1]
+    sums = [np.bincount(at, x).astype(np.int64)[at] for x in (n, m)]
+    back = [pa.array([s[a:b].tobytes() for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)], pa.binary()) for s in sums]
+    return pa.table([table.column("chunk"), table.column("owner"), *back], names=["chunk", "owner", "n", "m"])
+
+
+def losses(n: np.ndarray, m: np.ndarray, n_all: float, m_all: np.ndarray | float) -> np.ndarray:
+    """-log P_target + log P_background of tokens; n, m: [3, tokens] counts of word, history, pair."""
+    background = n[0] / n_all
+    target = (m[0] + LEAN * background) / (m_all + LEAN)
+    return np.log((n[2] + LEAN * background) / (n[1] + LEAN)) - np.log((m[2] + LEAN * target) / (m[1] + LEAN))
+
+
+def own_counts(at: np.ndarray) -> np.ndarray:
+    """How often the document itself holds the word, history and pair of each of its tokens."""
+    out = np.empty(at.shape, np.int64)
+    for k in range(3):
+        _, back, times = np.unique(at[k], return_inverse=True, return_counts=True)
+        out[k] = times[back]
+    return out
+
+
+def _scored(n_all: int, m_all: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = docs.combine_chunks()
+        size, keys, at = layout(docs.column("text"))
+        answers = answers.sort_by("owner")
+        n, m = (np.frombuffer(b"".join(answers.column(c).to_pylist()), np.int64) for c in ("n", "m"))
+        m_of, total = m[at].astype(float), np.full(at.shape[1], float(m_all))
+        end = np.cumsum(size)
+        for r in np.flatnonzero(docs.column("wanted").to_numpy() & (size > 0)).tolist():
+            part = slice(end[r] - size[r], end[r])
+            m_of[:, part] -= own_counts(at[:, part])
+            total[part] -= size[r]
+        each = losses(n[at], m_of, max(n_all, 1), total)
+        mean = np.bincount(np.repeat(np.arange(len(size)), size), each, len(size)) / np.maximum(size, 1)
+        return pa.table([docs.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(mean)], names=["doc_id", "n_tokens", "ce_diff"])
+
+    return run
+
+
+def score(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ce_diff for every row; target: doc_id of the documents that are wanted more of."""
+    spark, rows = docs.sparkSession, fresh(docs, "doc_id", "text")
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    ids = target.select(F.col("doc_id"), F.lit(True).alias("wanted")).where("doc_id is not null").distinct()
+    rows = rows.join(small(ids, ids.count(), 16), "doc_id", "left").select("doc_id", "text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    listed = Scratch(spark, "lm").write(_listed(rows, owners), "list")
+    lists = listed.where("list = 1").select("chunk", "owner", "keys", "n", "m")
+    answers = lists.groupBy("owner").applyInArrow(_totals, "chunk long, owner int, n binary, m binary")
+    each = listed.where("list = 0")
+    total = each.agg(F.sum("n_tokens").alias("n"), F.sum(F.when(F.col("wanted"), F.col("n_tokens"))).alias("m")).first()
+    each = each.select("doc_id", "text", "wanted", "chunk")
+    run = _scored(total["n"] or 0, total["m"] or 0)
+    return each.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, n_tokens long, ce_diff double")

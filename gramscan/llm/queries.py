@@ -25,7 +25,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     target = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm_score.score(docs, lm_score.count(docs, target))
+    return lm_score.score(docs, target)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

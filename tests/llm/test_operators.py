@@ -243,41 +243,29 @@ def test_toxicity(spark, docs, none):
 
 def test_lm_score(spark, docs, none):
     target = spark.createDataFrame([(3,), (5,), (5,), (None,)], "doc_id long")
-    got = table(lm_score.score(docs, lm_score.count(docs, target)))
-    every = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    got = table(lm_score.score(docs, target))
+    every = [(r["doc_id"], words(r["text"], r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")) for r in docs.collect()]
 
-    def model(texts):
-        tri, bi, uni = collections.Counter(), collections.Counter(), collections.Counter()
+    def counted(texts):
+        word, history, pair = collections.Counter(), collections.Counter(), collections.Counter()
         for t in texts:
-            t = b"\0\0" + t
-            tri.update(t[k - 2 : k + 1] for k in range(2, len(t)))
-        for g, n in tri.items():
-            bi[g[1:]] += n
-            uni[g[2]] += n
-        n_ab, t_ab, n_b, t_b = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
-        for g, n in tri.items():
-            n_ab[g[:2]] += n
-            t_ab[g[:2]] += 1
-        for g, n in bi.items():
-            n_b[g[0]] += n
-            t_b[g[0]] += 1
-        total = sum(uni.values())
-
-        def p(g):
-            one = (uni[g[2]] + 1) / (total + 256)
-            t2, t3 = max(t_b[g[1]], 1), max(t_ab[g[:2]], 1)
-            two = (bi[g[1:]] + t2 * one) / (n_b[g[1]] + t2)
-            return (tri[g] + t3 * two) / (n_ab[g[:2]] + t3)
-
-        return p
-
-    b, t = model([x for _, x in every]), model([x for i, x in every if i in (3, 5)])
-    for i in (4, 8, 11):
-        x = b"\0\0" + TEXTS[i].encode()
-        grams = [x[k - 2 : k + 1] for k in range(2, len(x))]
-        assert got[i]["ce_diff"] == pytest.approx(np.mean([np.log(b(g)) - np.log(t(g)) for g in grams]), abs=1e-4)
-        assert got[i]["n_tokens"] == len(grams)
-    assert got[0]["ce_diff"] == got[1]["ce_diff"] == 0 and lm_score.score(none, lm_score.count(none, target)).count() == 0
+            word.update(t)
+            history.update([None, *t][:-1])
+            pair.update(zip([None, *t], t, strict=False))
+        return word, history, pair
+
+    k = lm_score.LEAN
+    for i in (4, 5, 8, 9, 10, 11, 13):
+        t = next(x for d, x in every if d == i)
+        (w0, h0, p0), (w1, h1, p1) = counted([x for _, x in every]), counted([x for d, x in every if d in (3, 5) and d != i])
+        each = []
+        for h, w in zip([None, *t], t, strict=False):
+            b = w0[w] / w0.total()
+            a = (w1[w] + k * b) / (w1.total() + k)
+            each.append(np.log((p0[h, w] + k * b) / (h0[h] + k)) - np.log((p1[h, w] + k * a) / (h1[h] + k)))
+        assert got[i]["ce_diff"] == pytest.approx(np.mean(each), abs=1e-9) and got[i]["n_tokens"] == len(t)
+    assert got[0]["ce_diff"] == got[1]["ce_diff"] == 0 and len(got) == len(TEXTS) + 1
+    assert lm_score.score(none, target).count() == 0 and lm_score.score(docs, target.limit(0)).count() == docs.count()
 
 
 def test_pipeline(spark):
