@@ -247,22 +247,21 @@ def test_lm_score(spark, docs, none):
     every = [(r["doc_id"], words(r["text"], r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")) for r in docs.collect()]
 
     def counted(texts):
-        word, history, pair = collections.Counter(), collections.Counter(), collections.Counter()
+        word, pair = collections.Counter(), collections.Counter()
         for t in texts:
             word.update(t)
-            history.update([None, *t][:-1])
-            pair.update(zip([None, *t], t, strict=False))
-        return word, history, pair
+            pair.update(itertools.pairwise(t))
+        return word, pair
 
     k = lm_score.LEAN
     for i in (4, 5, 8, 9, 10, 11, 13):
         t = next(x for d, x in every if d == i)
-        (w0, h0, p0), (w1, h1, p1) = counted([x for _, x in every]), counted([x for d, x in every if d in (3, 5) and d != i])
+        (w0, p0), (w1, p1) = counted([x for _, x in every]), counted([x for d, x in every if d in (3, 5) and d != i])
         each = []
         for h, w in zip([None, *t], t, strict=False):
             b = w0[w] / w0.total()
             a = (w1[w] + k * b) / (w1.total() + k)
-            each.append(np.log((p0[h, w] + k * b) / (h0[h] + k)) - np.log((p1[h, w] + k * a) / (h1[h] + k)))
+            each.append(np.log((p0[h, w] + k * b) / (w0[h] + k)) - np.log((p1[h, w] + k * a) / (w1[h] + k)))
         assert got[i]["ce_diff"] == pytest.approx(np.mean(each), abs=1e-9) and got[i]["n_tokens"] == len(t)
     assert got[0]["ce_diff"] == got[1]["ce_diff"] == 0 and len(got) == len(TEXTS) + 1
     assert lm_score.score(none, target).count() == 0 and lm_score.score(docs, target.limit(0)).count() == docs.count()
