@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.scalar import Regex, matching
 from .operators import exact, index, render
 from .operators import search as S
 from .options import Case, Engine, Query
@@ -151,6 +152,51 @@ def rendered_json(spark: SparkSession, d: str) -> DataFrame:
     return render.json_lines(exact.scan(_documents(spark, d), Q(LITERAL))).select(F.col("file_id").alias("doc_id"), "seq", "rendered")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").where("text is not null")
+
+
+def regex_find(spark: SparkSession, d: str) -> DataFrame:
+    found = _texts(spark, d).select("doc_id", Regex(REQUIRED).find(F.col("text")).alias("m")).where("m is not null")
+    return found.select("doc_id", F.col("m.start").cast("long").alias("first_byte"), F.col("m.text").alias("matched"))
+
+
+def regex_find_iter(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).select("doc_id", F.posexplode(Regex(DIGITS).find_iter(F.col("text"))).alias("at", "matched")).select("doc_id", F.col("at").cast("long").alias("at"), "matched")
+
+
+def regex_captures(spark: SparkSession, d: str) -> DataFrame:
+    groups = _texts(spark, d).select("doc_id", F.explode(Regex(r"(?P<user>[a-z]+)\.([0-9]+)@").captures_iter(F.col("text"))).alias("g"))
+    return groups.select("doc_id", F.col("g")[0].alias("whole"), F.col("g")[1].alias("name"), F.col("g")[2].alias("number"))
+
+
+def regex_split(spark: SparkSession, d: str) -> DataFrame:
+    pieces = Regex("[.!?]+[ \\n]+", unicode=False).split(F.col("text"))
+    return _texts(spark, d).select("doc_id", F.size(pieces).cast("long").alias("n_pieces"), pieces[0].alias("first_piece"), F.array_join(pieces, "|").alias("pieces"))
+
+
+def regex_replacen(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).where(F.col("text").contains(LITERAL)).select("doc_id", Regex(f"{LITERAL}(s?)").replace(F.col("text"), "<$1>", 2).alias("replaced"))
+
+
+def regex_set(spark: SparkSession, d: str) -> DataFrame:
+    which = _texts(spark, d).select("doc_id", matching(F.col("text"), "licen[sc]e", "copyright", LITERAL).alias("which")).where(F.size("which") > 0)
+    return which.select("doc_id", F.array_join(F.col("which").cast("array<string>"), ",").alias("patterns"))
+
+
+def vimgrep(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with number and column, cut after 40 bytes with a note."""
+    events = exact.scan(_documents(spark, d), Q(REQUIRED)).where("kind = 'match'")
+    return render.text(events, column=True, max_columns=40).select(F.col("file_id").alias("doc_id"), "rendered")
+
+
+def index_kinds_intersected(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that trigrams and 5-grams both admit."""
+    corpus = _documents(spark, d)
+    three, five = (planner.narrow_in_place(corpus, Q(LITERAL), index.IndexRecord(w)) for w in (3, 5))
+    return _ids(three.join(five, "file_id", "left_semi"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     doc = _documents
     return {
@@ -177,7 +223,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "files_without_match": lambda s, d: _ids(S.files_without_match(doc(s, d), Q("the"))),
         "paths_listing": lambda s, d: S.paths(doc(s, d)).select(F.col("file_id").alias("doc_id"), "path"),
         "search_stats": lambda s, d: S.stats(doc(s, d), Q("the")),
-        **{f.__name__: f for f in (only_matching, replace_captures, byte_offsets, match_columns, context_before_after, passthru, gram_index, gram_df, narrowed_candidates, narrowed_search, narrowed_ignore_case, lazy_merge, type_glob_filter, scope_filter, sort_path, conversation_grep, events_json_grep, multiline_spans, exact_lines, rendered_text, rendered_json)},
+        **{f.__name__: f for f in (only_matching, replace_captures, byte_offsets, match_columns, context_before_after, passthru, gram_index, gram_df, narrowed_candidates, narrowed_search, narrowed_ignore_case, lazy_merge, type_glob_filter, scope_filter, sort_path, conversation_grep, events_json_grep, multiline_spans, exact_lines, rendered_text, rendered_json, regex_find, regex_find_iter, regex_captures, regex_split, regex_replacen, regex_set, vimgrep, index_kinds_intersected)},
     }
 
 
@@ -248,6 +294,14 @@ def oracle_sql() -> dict[str, str]:
         "conversation_grep": f"WITH p AS (SELECT conv_id * 1000 + turn AS turn_key, string_split(text, chr(10)) AS a FROM conversations), q AS (SELECT turn_key, unnest(a) AS line, unnest(generate_series(1, len(a))) AS k, len(a) AS n FROM p) SELECT turn_key, CAST(k AS BIGINT) AS line_number, line FROM q WHERE NOT (k = n AND line = '') AND {_THE}",
         "events_json_grep": "SELECT event_id, props AS line FROM events WHERE regexp_matches(props, '[0-9]{2}')",
         "multiline_spans": r"SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '\.\n[A-Z][a-z]+ the')) AS BIGINT) AS hits FROM documents) WHERE hits > 0",
+        "regex_find": f"WITH m AS (SELECT doc_id, text, regexp_extract(text, '{REQUIRED}') AS matched FROM documents) SELECT doc_id, CAST(strlen(substr(text, 1, strpos(text, matched) - 1)) AS BIGINT) AS first_byte, matched FROM m WHERE matched <> ''",
+        "regex_find_iter": f"WITH m AS (SELECT doc_id, regexp_extract_all(text, '{DIGITS}') AS a FROM documents) SELECT doc_id, CAST(unnest(generate_series(0, len(a) - 1)) AS BIGINT) AS at, unnest(a) AS matched FROM m WHERE len(a) > 0",
+        "regex_captures": r"WITH p AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '([a-z]+)\.([0-9]+)@')) SELECT doc_id, unnest(regexp_extract_all(text, '([a-z]+)\.([0-9]+)@', 0)) AS whole, unnest(regexp_extract_all(text, '([a-z]+)\.([0-9]+)@', 1)) AS name, unnest(regexp_extract_all(text, '([a-z]+)\.([0-9]+)@', 2)) AS number FROM p",
+        "regex_split": r"WITH p AS (SELECT doc_id, string_split_regex(text, '[.!?]+[ \n]+') AS a FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(a) AS n_pieces, a[1] AS first_piece, array_to_string(a, '|') AS pieces FROM p",
+        "regex_replacen": f"SELECT doc_id, regexp_replace(regexp_replace(text, '{LITERAL}(s?)', '<\\1>'), '{LITERAL}(s?)', '<\\1>') AS replaced FROM documents WHERE contains(text, '{LITERAL}')",
+        "regex_set": f"SELECT * FROM (SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, 'licen[sc]e') THEN '0' END, CASE WHEN contains(text, 'copyright') THEN '1' END, CASE WHEN contains(text, '{LITERAL}') THEN '2' END) AS patterns FROM documents) WHERE patterns <> ''",
+        "vimgrep": f"{_L} SELECT doc_id, doc_id || ':' || line_number || ':' || (strlen(substr(line, 1, strpos(line, regexp_extract(line, '{REQUIRED}')) - 1)) + 1) || ':' || CASE WHEN strlen(line) > 40 THEN '[Omitted long matching line]' ELSE line END AS rendered FROM l WHERE regexp_matches(line, '{REQUIRED}')",
+        "index_kinds_intersected": f"SELECT doc_id FROM documents WHERE text IS NULL OR strlen(text) < 3 OR contains(text, '{LITERAL}')",
         "exact_lines": f"{_L}, o AS (SELECT *, CAST(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS BIGINT) AS byte_offset FROM l) SELECT doc_id, line_number, byte_offset, line FROM o WHERE contains(line, '{LITERAL}')",
         "rendered_text": f"{_L}, o AS (SELECT *, CAST(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS BIGINT) AS byte_offset FROM l) SELECT doc_id, doc_id || ':' || line_number || ':' || byte_offset || ':' || line AS rendered FROM o WHERE contains(line, '{LITERAL}')",
     }
