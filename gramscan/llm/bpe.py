@@ -6,8 +6,8 @@ pairs, so a round takes the next rank of every word at once, merges all its posi
 updates the index beside them.  The number of rounds is that of the merges of one word, not
 that of the ranks in use.
 
-Words repeat, so results are kept in a bounded table per worker; a batch encodes only words
-that the table lacks.  Texts are read whole; null is an empty text.  There is no shuffle.
+Words repeat, so results are kept in a bounded table, which a task gives back at its end; a
+batch encodes only words that the table lacks.  Texts are read whole; null is an empty text.  There is no shuffle.
 
 Text before BPE, as the tokenizer file prescribes: special tokens are cut out, then NFC,
 runs of white space as one space, lower case, words by the file's pattern, bytes as printable
@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from .shared import fresh
-from .textops import raw
+from .textops import raw, release
 
-#: Stretches that a worker remembers.
-REMEMBERED = 400_000
+#: Stretches that a task remembers.
+REMEMBERED = 150_000
 _NONE = np.int32(2**31 - 1)
 _GAP = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
@@ -127,6 +127,9 @@ class Bpe:
         i = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[i] == key) & (word[at] == word[after]) & (after > at), self.pair_ranks[i], _NONE)
 
+    def forget(self) -> None:
+        self.known, self.words = {}, {}
+
     def learn(self, stretches: list[str]) -> None:
         parts = [self.split(s) for s in stretches]
         new = list({w: None for p in parts for w in p if isinstance(w, str) and w not in self.words})
@@ -143,7 +146,7 @@ class Bpe:
         """(tokens, ids by spaces, decoded text) of each text; simple: Python's own split is exact here."""
         cut = [t.split() if simple else [s for s in _GAP.split(t) if s] for t in texts]
         if len(self.known) > REMEMBERED or len(self.words) > REMEMBERED:
-            self.known, self.words = {}, {}
+            self.forget()
         new = set().union(*cut) - self.known.keys()
         if new:
             self.learn(list(new))
@@ -180,10 +183,9 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             buf, offsets = raw(column)
             # white space to split() but not to Unicode: 0x1C-0x1F
             simple = not bool(((buf >= 0x1C) & (buf <= 0x1F)).any())
-            texts = [t or "" for t in column.to_pylist()]
-            step = 1000  # texts at a time, to bound memory
-            for lo in range(0, len(texts), step):
-                got = bpe.encode(texts[lo : lo + step], simple)
+            step = 200  # texts at a time, to bound memory
+            for lo in range(0, len(column), step):
+                got = bpe.encode([t or "" for t in column.slice(lo, step).to_pylist()], simple)
                 n = pa.array([g[0] for g in got], pa.int64())
                 columns = [batch.column("doc_id").slice(lo, len(got)), n, *[pa.array([hashlib.sha256(g[k].encode("utf-8")).hexdigest() for g in got], pa.string()) for k in (1, 2)]]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -191,5 +193,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     columns += [pa.array([list(map(int, g[1].split())) for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.forget()
+        release()
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)

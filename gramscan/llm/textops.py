@@ -8,6 +8,7 @@ per word or per byte.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -115,10 +116,25 @@ def words_of(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE
     return out
 
 
+_libc: list = []
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on from task to task, and from stage to stage."""
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL(None).malloc_trim)
+        except (OSError, AttributeError):  # not glibc
+            _libc.append(lambda _: 0)
+    pa.default_memory_pool().release_unused()
+    _libc[0](0)
+
+
 def word_runs(column: pa.Array, separator: np.ndarray = SPACE, lower: bool = True, most: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
     buf, offsets = raw(column)
     for lo, hi in runs(offsets, most):
         yield lo, hi, words_of(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], separator, lower)
+    release()
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
