@@ -1,26 +1,31 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
 Two interpolated Kneser-Ney bigram models, one of toxic and one of ordinary labelled
-texts, give each document two log-likelihoods.  Their difference a word, the parts of it
-that come from words and from rare words with a clear preference, and the text's length go
-through a logistic curve fitted on labelled rows that were not counted.
+texts, give each document two log-likelihoods.  Their difference a word, as that of words alone
+and what pairs change in it, the parts that come from words and from rare words with a clear
+preference, and the text's length go through a logistic curve fitted on labelled rows that
+were not counted.
 
-    P_c(w | h) = max(c_c(h w) - D, 0) / c_c(h .) + g_c(h) P_c(w)
+    P_c(w | h) = max(c_c(h w) - D, 0) / (c_c(h .) + K) + g_c(h) Q_c(w | h)
+    Q_c(w | h) = max(c(h w) - D, 0) / c(h .) + g(h) P_c(w)
     P_c(w)     = l(w) max(N_c(. w) - D, 0) / N_c(. .) + rest P(w)
 
 ``N_c`` counts distinct predecessors within a class and ``c_c`` the documents that hold an
-expression, so that one long text that repeats itself counts once.  ``P`` comes from the
-predecessors of both classes together.  ``l(w) = N / (N + shared)`` with N the predecessors
+expression, so that one long text that repeats itself counts once.  ``c`` and ``P`` come from
+both classes together; K is ``SHARED``.  ``l(w) = N / (N + shared)`` with N the predecessors
 of both classes: a rare expression leans on the shared backoff and gets nearly the same
 probability from either model, so it can't move the score by chance.
 
 A word seen too rarely to have counts of its own is counted as its longest beginning that has
 them (``STEMS`` bytes), in both models; how often the word follows from that beginning is shared
 by them and cancels.  So inflected and compounded forms share the counts of their stem.
+Pairs are of such units, so a pair counts however rare its words are, and also if one has no
+counted beginning.  Pairs of a single document count too: discount and backoff smooth them.
 
 The classifier is fitted on a bounded sample: at most ``rows_per_class`` labelled rows of
 each class (the smallest hashes of doc_id), a vocabulary of at most ``max_words`` words and
-at most ``max_bigrams`` pairs (the most frequent ones of the sample).  The model is
+at most ``max_bigrams`` pairs (the most frequent ones of the sample;
+the share of others goes to the backoff).  The model is
 therefore of bounded size and is sent to the executors; every row of the table is scored
 over its whole text, without a shuffle.
 
@@ -43,8 +48,8 @@ from .textops import NOT_ALNUM, Words, mix, signed, word_runs
 DISCOUNT = 0.75
 #: How many sightings of an expression weigh as much as the shared backoff.
 SHARED = 5.0
-#: Words with fewer predecessors, and beginnings and pairs in fewer sampled documents count as unknown.
-WORD_SEEN, PAIR_SEEN = 20, 200
+#: Words with fewer predecessors, and beginnings in fewer sampled documents, have no counts of their own.
+WORD_SEEN = 20
 #: Of the logistic curve, for each row.
 RIDGE = 1e-3
 #: Lengths in bytes of the beginnings that rare words back off to, the longest first.
@@ -69,8 +74,8 @@ class Model:
     vocab: np.ndarray  # sorted word hashes
     word: np.ndarray  # [2, words + 1]: P_c(w), the last for unknown words
     back: np.ndarray  # [2, words + 1]: g_c(h)
-    pairs: np.ndarray  # sorted h * (words + 1) + w
-    pair: np.ndarray  # [2, pairs + 1]: the discounted share, the last is 0
+    pairs: np.ndarray  # sorted h * (words + 1) + w, of units
+    pair: np.ndarray  # [2, pairs + 1]: the share beside the backoff, the last is 0
     curve: np.ndarray  # weights of features()
     margin: float
 
@@ -82,30 +87,33 @@ class Model:
         at = np.minimum(np.searchsorted(self.vocab, h), v - 1)
         return np.where(self.vocab[at] == h, at, v)
 
-    def difference(self, w: Words) -> np.ndarray:
-        """By row: log-likelihood toxic less ordinary a word, its parts beyond MARGIN from words and from beginnings of rare words, and the number of words."""
-        n = np.diff(w.first)
-        v = len(self.vocab)
+    def units(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word its place in the vocabulary, or that of its longest beginning there; and which words are too rare to have one of their own."""
         ids = self.ids(w.hash)
-        rare = ids == v
+        rare = ids == len(self.vocab)
         for size in STEMS:
-            h, at = stems(w, size, np.flatnonzero(ids == v))
+            h, at = stems(w, size, np.flatnonzero(ids == len(self.vocab)))
             ids[at] = self.ids(h)
+        return ids, rare
+
+    def difference(self, w: Words) -> np.ndarray:
+        """By row: log-likelihood toxic less ordinary a word of words alone, its parts beyond MARGIN from words and from beginnings of rare words, what pairs change in it, and the number of words."""
+        n = np.diff(w.first)
+        ids, rare = self.units(w)
         p = self.word[:, ids]
-        if len(ids) > 1:
-            key = ids[:-1] * (v + 1) + ids[1:]
-            known = (ids[:-1] < v) & (ids[1:] < v) & (w.row[:-1] == w.row[1:])
-            at = np.full(len(key), len(self.pairs))
-            got = np.searchsorted(self.pairs, key[known])
-            got[got == len(self.pairs)] = 0
-            at[known] = np.where(self.pairs[got] == key[known], got, len(self.pairs)) if len(self.pairs) else 0
-            inner = w.row[:-1] == w.row[1:]
-            for c in (0, 1):
-                p[c, 1:] = np.where(inner, self.pair[c, at] + self.back[c, ids[:-1]] * p[c, 1:], p[c, 1:])
         ratio = np.log(p[1]) - np.log(p[0])
+        of_pairs = np.zeros(len(ids))
+        second = np.flatnonzero(w.row[1:] == w.row[:-1]) + 1
+        if len(second):
+            h, x = ids[second - 1], ids[second]
+            key = h * (len(self.vocab) + 1) + x
+            at = np.searchsorted(self.pairs, key)
+            at[np.append(self.pairs, -1)[at] != key] = len(self.pairs)
+            q = self.pair[:, at] + self.back[:, h] * p[:, second]
+            of_pairs[second] = np.log(q[1]) - np.log(q[0]) - ratio[second]
         beyond = np.maximum(ratio - self.margin, 0)
-        parts = np.stack([ratio, np.where(rare, 0, beyond), np.where(rare, beyond, 0)])
-        sums = np.concatenate([np.zeros((3, 1)), np.cumsum(parts, axis=1)], axis=1)
+        parts = np.stack([ratio, np.where(rare, 0, beyond), np.where(rare, beyond, 0), of_pairs])
+        sums = np.concatenate([np.zeros((4, 1)), np.cumsum(parts, axis=1)], axis=1)
         mean = (sums[:, w.first[1:]] - sums[:, w.first[:-1]]) / np.maximum(n, 1)
         return np.stack([*mean, n.astype(float)])
 
@@ -116,8 +124,8 @@ class Model:
         return out
 
 
-def features(mean: np.ndarray, words: np.ndarray, rare: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones_like(mean), mean, words, np.log1p(words * n), rare, np.log1p(rare * n), np.log1p(n)], axis=1)
+def features(mean: np.ndarray, words: np.ndarray, rare: np.ndarray, pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones_like(mean), mean, words, np.log1p(words * n), rare, np.log1p(rare * n), np.log1p(n), pairs], axis=1)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -154,8 +162,30 @@ def _frame(df: DataFrame) -> dict[str, np.ndarray]:
     return {c: table.column(c).to_numpy() for c in table.column_names}
 
 
-def models(words: dict, pairs: dict, totals: np.ndarray, lean: float = SHARED) -> Model:
-    """From w, d0, d1 (distinct predecessors), s0, s1 (sums of pairs that it begins) of words and h, w, n0, n1 of pairs.
+def _paired(docs: DataFrame, model: Model) -> DataFrame:
+    """Of (text, toxic): pairs h, w of units, with the documents of either class that hold them."""
+
+    def run(batches):
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
+            for lo, hi, w in word_runs(batch.column("text"), NOT_ALNUM):
+                ids, _ = model.units(w)
+                at = np.flatnonzero(w.row[1:] == w.row[:-1]) + 1
+                key, row = ids[at - 1] * (len(model.vocab) + 1) + ids[at], w.row[at]
+                order = np.lexsort((row, key))
+                key, row = key[order], row[order]
+                once = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+                key, back = np.unique(key[once], return_inverse=True)
+                n1 = np.bincount(back, toxic[lo:hi][row[once]], len(key)).astype(np.int64)
+                n = np.bincount(back, minlength=len(key))
+                h, x = np.divmod(key, len(model.vocab) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, x, n - n1, n1)], names=["h", "w", "n0", "n1"])
+
+    return docs.mapInArrow(run, "h long, w long, n0 long, n1 long").groupBy("h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def models(words: dict, totals: np.ndarray, lean: float = SHARED) -> Model:
+    """Without pairs, from w and d0, d1 (distinct predecessors) of words.
 
     totals: [2] distinct pairs of either class, of kept words or not."""
     order = np.argsort(words["w"].view(np.uint64))
@@ -165,7 +195,6 @@ def models(words: dict, pairs: dict, totals: np.ndarray, lean: float = SHARED) -
     shared = np.append(seen.sum(0) + 0.5, 0.5)
     shared /= shared.sum()
     word = np.zeros((2, v + 1))
-    back = np.ones((2, v + 1))
     own = seen.sum(0)
     trust = np.append(own / (own + lean), 0)
     for c in (0, 1):
@@ -173,20 +202,26 @@ def models(words: dict, pairs: dict, totals: np.ndarray, lean: float = SHARED) -
         freed = 1 - share.sum() if totals[c] else 1
         word[c] = trust * share + (1 - trust + trust * freed) * shared
         word[c] /= word[c].sum()
-    where = lambda h: np.minimum(np.searchsorted(vocab, h), max(v - 1, 0))
-    h, w = pairs["h"].view(np.uint64), pairs["w"].view(np.uint64)
-    hi, wi = where(h), where(w)
-    ok = (vocab[hi] == h) & (vocab[wi] == w) if v else np.zeros(len(h), bool)
-    key = hi[ok] * (v + 1) + wi[ok]
+    return Model(vocab, word, np.ones((2, v + 1)), np.zeros(0, np.int64), np.zeros((2, 1)), np.zeros(8), MARGIN)
+
+
+def add_pairs(model: Model, pairs: dict, sums: dict, lean: float = SHARED) -> None:
+    """From h, w, n0, n1 of kept pairs and h, s0, s1 (sums of all pairs that it begins, kept or not) of histories."""
+    v = len(model.vocab)
+    of = np.zeros((2, v + 1))
+    of[:, sums["h"]] = sums["s0"], sums["s1"]
+    key = pairs["h"] * (v + 1) + pairs["w"]
     by = np.argsort(key)
-    pair = np.zeros((2, len(key) + 1))
-    for c, name in enumerate(("n0", "n1")):
-        of = np.maximum(words[name.replace("n", "s")][order].astype(float), 1)
-        both = (pairs["n0"] + pairs["n1"])[ok].astype(float)
-        share = both / (both + lean) * np.maximum(pairs[name][ok].astype(float) - DISCOUNT, 0) / of[hi[ok]]
-        np.subtract.at(back[c], hi[ok], share)
-        pair[c, :-1] = share[by]
-    return Model(vocab, word, np.maximum(back, 1e-6), key[by], pair, np.zeros(7), MARGIN)
+    h, n = pairs["h"][by], np.stack([pairs["n0"], pairs["n1"]])[:, by].astype(float)
+    less = lambda x: np.maximum(x - DISCOUNT, 0)
+    rest = lambda share: 1 - np.bincount(h, share, v + 1)
+    pooled = less(n.sum(0)) / of.sum(0)[h]
+    model.pairs, model.pair = key[by], np.zeros((2, len(key) + 1))
+    for c in (0, 1):
+        own = less(n[c]) / (of[c][h] + lean)
+        freed = rest(own)
+        model.pair[c, :-1] = own + freed[h] * pooled
+        model.back[c] = freed * rest(pooled)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = 30) -> np.ndarray:
@@ -219,27 +254,30 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 5000, max_word
     counts = _counted(sample.where("not curve")).persist()
     pairs = counts.where("h is not null")
     before = pairs.groupBy("w").agg(F.sum((F.col("n0") > 0).cast("long")).alias("d0"), F.sum((F.col("n1") > 0).cast("long")).alias("d1"))
-    after = pairs.groupBy(F.col("h").alias("w")).agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"))
     total = pairs.agg(F.sum((F.col("n0") > 0).cast("long")).alias("a"), F.sum((F.col("n1") > 0).cast("long")).alias("b")).first()
     often = F.col("n0") + F.col("n1")
-    units = counts.where("h is null").where(often >= 2).orderBy(often.desc(), "w").limit(max_words).join(before, "w", "left").join(after, "w", "left").fillna(0)
+    units = counts.where("h is null").where(often >= 2).orderBy(often.desc(), "w").limit(max_words).join(before, "w", "left").fillna(0)
     seen = [F.when(F.col("stem") > 0, F.col(f"n{c}")).otherwise(F.col(f"d{c}")).alias(f"d{c}") for c in (0, 1)]
-    words = units.select("w", *seen, "s0", "s1").where(F.col("d0") + F.col("d1") >= WORD_SEEN)
-    model = models(_frame(words), _frame(pairs.where(often >= PAIR_SEEN).orderBy(often.desc(), "h", "w").limit(max_bigrams)), np.array([total["a"] or 0, total["b"] or 0]))
+    words = units.select("w", *seen).where(F.col("d0") + F.col("d1") >= WORD_SEEN)
+    model = models(_frame(words), np.array([total["a"] or 0, total["b"] or 0]))
     counts.unpersist()
+    paired = _paired(sample.where("not curve"), model).persist()
+    sums = paired.groupBy("h").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"))
+    add_pairs(model, _frame(paired.orderBy(often.desc(), "h", "w").limit(max_bigrams)), _frame(sums))
+    paired.unpersist()
 
     def measure(batches):
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(float)
             for lo, hi, w in word_runs(batch.column("text"), NOT_ALNUM):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, model.difference(w)), pa.array(toxic[lo:hi])], names=["mean", "words", "rare", "n", "y"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, model.difference(w)), pa.array(toxic[lo:hi])], names=["mean", "words", "rare", "pairs", "n", "y"])
 
-    seen = _frame(sample.where("curve").mapInArrow(measure, "mean double, words double, rare double, n double, y double"))
+    seen = _frame(sample.where("curve").mapInArrow(measure, "mean double, words double, rare double, pairs double, n double, y double"))
     if not {0.0, 1.0} <= set(seen["y"]):
         return None
     y = seen["y"]
     weight = np.where(y == 1, share[1] / max(y.sum(), 1), share[0] / max((1 - y).sum(), 1))
-    model.curve = logistic(features(*(seen[c] for c in ("mean", "words", "rare", "n"))), y, weight / weight.mean())
+    model.curve = logistic(features(*(seen[c] for c in ("mean", "words", "rare", "pairs", "n"))), y, weight / weight.mean())
     return model
 
 

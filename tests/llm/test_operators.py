@@ -241,6 +241,25 @@ def test_toxicity(spark, docs, none):
     assert toxicity.keep_ordinary(docs, model).columns == docs.columns
 
 
+def test_toxicity_by_pairs_alone(spark):
+    rng = np.random.default_rng(6)
+    rows, marks = [], []
+    for i in range(400):
+        t = [f"w{k}" for k in rng.zipf(1.5, 30) % 100]
+        bad = i % 2
+        t[10:12] = t[20:22] = ["kettle", "lantern"] if bad else ["lantern", "kettle"]
+        rows.append((i, " ".join(t)))
+        marks.append((i, 1, bad, 0.0))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, marks)
+    model = toxicity.fit(df, lab)
+    out = toxicity.score(df, model).join(lab.drop("score"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert len(out) > 50 and np.mean([r["predicted"] == r["toxic"] for r in out]) > 0.95
+    # a share for each pair and each backoff: the probabilities after a history add up to 1
+    v, h = len(model.vocab), model.ids(textops.hash_of(["kettle"]))[0]
+    mine = model.pairs // (v + 1) == h
+    assert mine.any() and model.pair[:, :-1][:, mine].sum(1) + model.back[:, h] == pytest.approx([1, 1])
+
+
 def test_lm_score(spark, docs, none):
     target = spark.createDataFrame([(3,), (5,), (5,), (None,)], "doc_id long")
     got = table(lm_score.score(docs, target))
