@@ -9,8 +9,11 @@ remaining blocks of a host's pages are concatenated, a suffix array (prefix doub
 strings of at least ``least`` words that occur on distinct pages, and blocks that such
 strings cover are boilerplate; the unique runs stay.  An article that is marked as such is
 not put through it, since an article that several pages carry in full would vanish.
-Hosts are dealt in groups of about ``group`` pages, so that a host of any size is never
-in one task.
+Hosts are dealt in parts of about ``group`` pages, so that a host of any size is never
+in one task.  A suffix array finds what repeats within a part.  For what repeats between parts, each
+part of a host of several sends the distinct hashes of its strings of ``least`` words, and of its
+shorter blocks, and gets those back that another part has too.  So the size of a host and the way it is dealt
+change nothing, but for collisions of 64-bit hashes.
 
 Blocks: text between tags that break lines.  Character references are decoded, white space
 and ``br`` inside a block become one space, blocks are trimmed and joined by two newlines in
@@ -20,17 +23,18 @@ Null and empty pages give an empty text.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh
-from .textops import SPACE, raw, words_of
+from .shared import Scratch, fresh, small
+from .textops import SPACE, Words, mix, raw, shingles, signed, words_of
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
@@ -186,25 +190,59 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def unique_blocks(pages: list[list[str]], least: int, share: float) -> list[list[str]]:
-    """Each page's blocks less those of which repeated strings cover ``share`` of the words."""
+def _words(pages: list[list[str]]) -> tuple[Words, np.ndarray]:
+    """Words of all blocks, and the page of each word."""
+    w = words_of(*raw(pa.array([b for p in pages for b in p], pa.string())), SPACE)
+    return w, np.repeat(np.arange(len(pages)), [len(p) for p in pages])[w.row]
+
+
+def _strings(w: Words, page: np.ndarray, least: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each ``least`` words of a page, and the index of the first of them; salt: of the host."""
+    h, at = shingles(replace(w, row=page), least)
+    return mix(h ^ np.uint64(salt)), at
+
+
+def _short(block: str, salt: int) -> int:
+    return int.from_bytes(hashlib.blake2b(block.encode(), digest_size=8, key=salt.to_bytes(8, "big")).digest(), "big")
+
+
+def distinct_strings(pages: list[list[str]], least: int, salt: int) -> np.ndarray:
+    """Distinct hashes of the pages' strings of ``least`` words and of their shorter blocks."""
+    w, page = _words(pages)
+    flat = [b for p in pages for b in p]
+    short = {flat[k] for k in np.flatnonzero(np.diff(w.first) < least).tolist()}
+    return np.unique(np.concatenate([_strings(w, page, least, salt)[0], np.array([_short(b, salt) for b in short], np.uint64)]))
+
+
+def unique_blocks(pages: list[list[str]], least: int, share: float, elsewhere: np.ndarray | None = None, salt: int = 0) -> list[list[str]]:
+    """Each page's blocks less those of which repeated strings cover ``share`` of the words.
+
+    elsewhere: those of ``distinct_strings`` that pages of the host outside of this list have as well."""
     flat = [b for p in pages for b in p]
     if not flat:
         return pages
-    buf, offsets = raw(pa.array(flat, pa.string()))
-    w = words_of(buf, offsets, SPACE)
+    w, page = _words(pages)
     page_of_block = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
-    page = page_of_block[w.row]
     at = np.flatnonzero(np.diff(page, prepend=page[:1]))
     tokens = np.insert(w.hash, at, np.arange(len(at), dtype=np.uint64))
     pages_of = np.insert(page, at, page[at])
     covered = np.delete(repeated(tokens, pages_of, least), at + np.arange(len(at)))
+    others: set[int] = set()
+    if elsewhere is not None and len(elsewhere):
+        h, first = _strings(w, page, least, salt)
+        first = first[np.isin(h, elsewhere)]
+        edge = np.zeros(len(covered) + 1, np.int64)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + least, -1)
+        covered |= np.cumsum(edge[:-1]) > 0
+        others = set(elsewhere.tolist())
     # a block shorter than a string counts as covered if the same block stands on another page
     full = np.bincount(w.row, covered, len(flat)) / np.maximum(np.diff(w.first), 1)
     where: dict[str, set[int]] = {}
     for b, p in zip(flat, page_of_block.tolist(), strict=True):
         where.setdefault(b, set()).add(p)
-    keep = [full[k] < share and not (len(where[b]) > 1 and w.first[k + 1] - w.first[k] < least) for k, b in enumerate(flat)]
+    again = lambda b: len(where[b]) > 1 or bool(others) and _short(b, salt) in others
+    keep = [full[k] < share and not (w.first[k + 1] - w.first[k] < least and again(b)) for k, b in enumerate(flat)]
     out, k = [], 0
     for p in pages:
         out.append([b for i, b in enumerate(p) if keep[k + i]])
@@ -216,6 +254,31 @@ def host(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _stripped(cut: DataFrame, least: int, share: float, group: int) -> DataFrame:
+    """page_id, url, text of (page_id, url, host, blocks), without what repeats on pages of a host."""
+    large = cut.groupBy("host").agg(F.ceil(F.count("*") / group).alias("parts")).where("parts > 1")
+    n_large = large.count()
+    dealt = cut.join(small(large, n_large, 24), "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("parts")), F.lit(0)))
+    salt = lambda table: table.column("host")[0].as_py() % (1 << 64)
+
+    def strings(table: pa.Table) -> pa.Table:
+        h = distinct_strings(table.column("blocks").to_pylist(), least, salt(table))
+        return pa.table({"h": pa.array(signed(h)), **{c: pa.array(np.full(len(h), table.column(c)[0].as_py(), np.int64)) for c in ("host", "part")}})
+
+    def strip(table: pa.Table, again: pa.Table | None = None) -> pa.Table:
+        elsewhere = None if again is None else again.column("h").to_numpy().view(np.uint64)
+        out = ["\n\n".join(b) for b in unique_blocks(table.column("blocks").to_pylist(), least, share, elsewhere, salt(table))]
+        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(out, pa.string())})
+
+    parts, fields = dealt.select("page_id", "url", "host", "part", "blocks").groupBy("host", "part"), f"page_id {cut.schema['page_id'].dataType.simpleString()}, url string, text string"
+    if not n_large:
+        return parts.applyInArrow(lambda table: strip(table), fields)
+    sent = dealt.where("parts > 1").select("host", "part", "blocks").groupBy("host", "part").applyInArrow(strings, "h long, host long, part long")
+    by_hash = Window.partitionBy("h")
+    again = sent.withColumns({"lo": F.min("part").over(by_hash), "hi": F.max("part").over(by_hash)}).where("lo < hi").select("h", "host", "part")
+    return parts.cogroup(again.groupBy("host", "part")).applyInArrow(strip, fields)
+
+
 def extract(pages: DataFrame, least: int = 8, share: float = 0.8, group: int = 500) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     rows = fresh(pages, "page_id", "url", "html")
@@ -230,16 +293,10 @@ def extract(pages: DataFrame, least: int = 8, share: float = 0.8, group: int = 5
     def streams(batches):
         for batch in batches:
             out = [blocks(h)[0] if h else [] for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "part")), pa.array(out, pa.list_(pa.string()))], names=["page_id", "url", "host", "part", "blocks"])
-
-    def strip(table: pa.Table) -> pa.Table:
-        out = ["\n\n".join(b) for b in unique_blocks(table.column("blocks").to_pylist(), least, share)]
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(out, pa.string())})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(out, pa.list_(pa.string()))], names=["page_id", "url", "host", "blocks"])
 
     plain = rows.where(is_marked).mapInArrow(texts, f"page_id {kind}, url string, text string")
-    other = rows.where(~is_marked).withColumn("host", host(F.col("url")))
-    sizes = other.groupBy("host").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / group)).select("host", "parts")
-    dealt = other.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id"), F.col("parts"))).select("page_id", "url", "html", "host", "part")
-    cut = dealt.mapInArrow(streams, f"page_id {kind}, url string, host string, part long, blocks array<string>")
-    rest = cut.groupBy("host", "part").applyInArrow(strip, f"page_id {kind}, url string, text string")
+    other = rows.where(~is_marked).withColumn("host", F.xxhash64(host(F.col("url"))))
+    cut = Scratch(pages.sparkSession, "html").write(other.mapInArrow(streams, f"page_id {kind}, url string, host long, blocks array<string>"))
+    rest = _stripped(cut, least, share, group)
     return plain.unionByName(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -216,6 +216,19 @@ def test_html(spark):
     assert got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_html_of_a_large_host(spark):
+    own = lambda i, n: " ".join(f"p{i}x{k}" for k in range(n))
+    pages = [[own(i, 12), own(f"{i}y", 3)] for i in range(60)]
+    for k in range(0, 60, 2):  # strings and short blocks on two pages each
+        for i in (k, k + 1):
+            pages[i] += [f"Notice {own(f'n{k}', 9)}", f"Short {k}", own(f"{i}z", 5) + " " + own(f"m{k}", 10)]
+    rows = [(i, "http://hot/x", "".join(f"<p>{b}</p>" for b in p)) for i, p in enumerate(pages)] + [(100, "http://cold/x", f"<p>{pages[0][2]}</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: "\n\n".join([*p[:2], p[4]]) for i, p in enumerate(pages)} | {100: pages[0][2]}
+    for group in (500, 4):
+        assert {r["page_id"]: r["text"] for r in html_extract.extract(df, group=group).collect()} == want, group
+
+
 def test_suffix_array():
     x = np.array([3, 1, 2, 1, 2, 3, 1, 2], np.uint64)
     assert html_extract.suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
