@@ -45,8 +45,7 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
 _CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|nav|navbar|navigation|menu|breadcrumbs?|header|footer|masthead|sidebar|comments?|disqus|replies|share|sharing|social|newsletter|subscribe|signup|login|popup|modal|overlay|widget|related|recommend\w*|pagination|pager|toolbar)(?:$|[\s_-])", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-#: In SQL: whether a page marks its article.
-MARKED = r"(?i)<(?:article|main)[\s>]|role\s*=\s*[\"']?main\b"
+_EACH = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 
 
 def _skipped(name: str, attributes: str) -> bool:
@@ -63,6 +62,16 @@ def _skipped(name: str, attributes: str) -> bool:
     return False
 
 
+def _marks(name: str, attributes: str) -> bool:
+    """Whether the element is the page's article."""
+    if name in ("article", "main"):
+        return True
+    if "role" not in attributes.lower():
+        return False
+    roles = [value for key, value in _EACH.findall(attributes) if key.lower() == "role"]
+    return bool(roles) and "main" in roles[0].strip("\"'").lower().split()
+
+
 def blocks(page: str) -> tuple[list[str], bool]:
     """Blocks of main text, and whether the page marks its article."""
     inside: list[str] = []
@@ -141,7 +150,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
             continue
         if attributes.rstrip().endswith("/") and name not in _INLINE and name not in _CLOSES_P:
             continue
-        is_main = not skip and not bad and (name in ("article", "main") or 'role="main"' in attributes)
+        is_main = not skip and not bad and _marks(name, attributes)
         if is_main:
             marked = True
             main += 1
@@ -283,20 +292,14 @@ def extract(pages: DataFrame, least: int = 8, share: float = 0.8, group: int = 5
     """page_id, url, text, n_chars of every row."""
     rows = fresh(pages, "page_id", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
-    is_marked = F.coalesce(F.regexp_like("html", F.lit(MARKED)), F.lit(True))
-
-    def texts(batches):
-        for batch in batches:
-            out = ["\n\n".join(blocks(h)[0]) if h else "" for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    def streams(batches):
+    def parsed(batches):
         for batch in batches:
-            out = [blocks(h)[0] if h else [] for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(out, pa.list_(pa.string()))], names=["page_id", "url", "host", "blocks"])
+            out = [blocks(h) if h else ([], True) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array([b for b, _ in out], pa.list_(pa.string())), pa.array([m for _, m in out])], names=["page_id", "url", "host", "blocks", "marked"])
 
-    plain = rows.where(is_marked).mapInArrow(texts, f"page_id {kind}, url string, text string")
-    other = rows.where(~is_marked).withColumn("host", F.xxhash64(host(F.col("url"))))
-    cut = Scratch(pages.sparkSession, "html").write(other.mapInArrow(streams, f"page_id {kind}, url string, host long, blocks array<string>"))
-    rest = _stripped(cut, least, share, group)
+    every = rows.withColumn("host", F.xxhash64(host(F.col("url")))).mapInArrow(parsed, f"page_id {kind}, url string, host long, blocks array<string>, marked boolean")
+    every = Scratch(pages.sparkSession, "html").write(every)
+    plain = every.where("marked").select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
+    rest = _stripped(every.where("not marked").drop("marked"), least, share, group)
     return plain.unionByName(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -229,6 +229,16 @@ def test_html_of_a_large_host(spark):
         assert {r["page_id"]: r["text"] for r in html_extract.extract(df, group=group).collect()} == want, group
 
 
+def test_html_marks(spark):
+    same = "<p>This very long boilerplate sentence is on all of the pages here.</p>"
+    heads = ["<!-- <article> -->", "<script>'<main>'</script>", "<nav><article>n</article></nav>", "<p data-x='role=main'></p>", "<i data-role=main></i>", ""]
+    rows = [(i, "http://h/", f"{head}{same}<p>own words of page {i} and no others</p>") for i, head in enumerate(heads)]
+    rows += [(10 + i, "http://h/", f"<div>gone</div><div {role}>{same}</div>") for i, role in enumerate(["role='main'", "role=main", 'ROLE = "Main"', "class=x role='main'"])]
+    got = table(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert [got[i]["text"] for i in range(len(heads))] == [f"own words of page {i} and no others" for i in range(len(heads))]
+    assert {got[10 + i]["text"] for i in range(4)} == {same[3:-4]}
+
+
 def test_suffix_array():
     x = np.array([3, 1, 2, 1, 2, 3, 1, 2], np.uint64)
     assert html_extract.suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
