@@ -6,16 +6,16 @@ values cost half the hash evaluations that minima alone need.  Bands of ``rows``
 minima or maxima, put documents into buckets.  At similarity 0.8 and with 44 bands of 5 a
 pair of documents shares no bucket with probability (1 - 0.8^5)^44 < 3e-8.
 
-Documents of equal sets are one vertex from the start (by a 128-bit digest of the set).
-Buckets never emit all their pairs: a bucket's members are compared with its smallest
-document, links are confirmed on the full sets, and components are contracted.  Members of
+Documents of equal sets are one vertex from the start (by a 128-bit digest of the set); doc_ids come
+in only at the end, as the smallest one of a component.
+Buckets never emit all their pairs: a bucket's members are compared with one of them, links are confirmed on the full sets, and components are contracted.  Members of
 buckets that then still hold several components go through an exact prefix filter, which
 compares only sets of different components that share one of their rarest elements: by
 candidate pairs where few sets share it, in blocks that emit links only where many do.
 
 Null and empty texts have an empty set and are linked with nothing.  A text of fewer words
 than a shingle has one element, its whole sequence.  Rows that repeat a doc_id each get a
-row with the same values if their texts are the same.
+row, with the component of their own text.
 """
 
 from __future__ import annotations
@@ -69,6 +69,10 @@ def band_keys(s: np.ndarray, odd: np.ndarray, bands: int) -> np.ndarray:
     return signed(key)
 
 
+def digest(s: np.ndarray) -> tuple[int, int]:
+    return int(np.bitwise_xor.reduce(mix(s)).view(np.int64)), int(np.add.reduce(mix(s ^ _U(0x5BD1E9955BD1E995))).view(np.int64))
+
+
 def _signed_documents(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     odd = permutations(bands, per_band)
@@ -79,8 +83,9 @@ def _signed_documents(rows: DataFrame, size: int, bands: int, per_band: int) ->
             for s in shingle_sets(batch.column("text"), size):
                 n.append(len(s))
                 if len(s):
-                    high.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)))
-                    low.append(int(np.add.reduce(mix(s ^ _U(0x5BD1E9955BD1E995))).view(np.int64)))
+                    x, y = digest(s)
+                    high.append(x)
+                    low.append(y)
                     keys.append(band_keys(s, odd, bands))
                 else:
                     high.append(None)
@@ -94,17 +99,24 @@ def _signed_documents(rows: DataFrame, size: int, bands: int, per_band: int) ->
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """s1, s2, n_shingles and set of each text that has one."""
+
     def run(batches):
+        names = ["s1", "s2", "n_shingles", "s"]
         for batch in batches:
-            ids, sets, total, lo = batch.column("v"), [], 0, 0
-            for k, s in enumerate(shingle_sets(batch.column("text"), size)):
-                sets.append(signed(s))
-                total += len(s)
-                if total > 500_000 or k == len(ids) - 1:
-                    yield pa.RecordBatch.from_arrays([ids.slice(lo, k + 1 - lo), pa.array(sets, pa.list_(pa.int64()))], names=["v", "s"])
-                    sets, total, lo = [], 0, k + 1
+            sets, of, total = [], [], 0
+            for s in shingle_sets(batch.column("text"), size):
+                if len(s):
+                    sets.append(signed(s))
+                    of.append((*digest(s), len(s)))
+                    total += len(s)
+                if total > 500_000:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*of, strict=True)), pa.array(sets, pa.list_(pa.int64()))], names=names)
+                    sets, of, total = [], [], 0
+            if sets:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*of, strict=True)), pa.array(sets, pa.list_(pa.int64()))], names=names)
 
-    return rows.mapInArrow(run, "v long, s array<long>")
+    return rows.mapInArrow(run, "s1 long, s2 long, n_shingles long, s array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,15 +216,17 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     rows = fresh(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     scratch = Scratch(spark, "near")
     signed_docs = scratch.write(_signed_documents(rows, size, bands, per_band))
-    vertex = F.min("doc_id").alias("v")
-    same = signed_docs.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(vertex, F.first("keys").alias("keys"))
+    key = ["s1", "s2", "n_shingles"]
+    same = signed_docs.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    same = scratch.write(same.withColumn("v", F.monotonically_increasing_id()))
     members = same.select(F.col("v"), F.explode("keys").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.min("v").alias("pivot"), F.max("v").alias("other")).where("pivot < other").select("bucket", "pivot")
     buckets = scratch.write(members.join(crowded, "bucket").select("bucket", "v", "pivot"))
     wanted = buckets.select("v").distinct()
     n_wanted = wanted.count()
-    texts = rows.join(small(wanted, n_wanted, 16), F.col("doc_id") == F.col("v"), "inner").select("v", "text")
-    sets = scratch.write(_sets(texts, size).dropDuplicates(["v"]))
+    chosen = same.select(*key, "least", "v").join(small(wanted, n_wanted, 16), "v")
+    texts = rows.join(small(chosen.select("least").distinct(), n_wanted, 16), F.col("doc_id") == F.col("least")).select("text")
+    sets = scratch.write(_sets(texts, size).dropDuplicates(key).join(small(chosen.select(*key, "v"), n_wanted, 48), key).select("v", "s"))
 
     tried = scratch.write(buckets.where("v <> pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b")).distinct())
     links = scratch.write(confirmed(tried, sets, percent))
@@ -221,8 +235,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     unsettled = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     left = scratch.write(placed.join(unsettled, "bucket").select("v", "label").distinct())
     labels = components(links.union(settle(left, sets, tried, percent, scratch)), scratch)
-    of = signed_docs.groupBy("s1", "s2", "n_shingles").agg(vertex).where("n_shingles > 0")
-    placed = of.join(labels, F.col("v") == F.col("node"), "left").select("s1", "s2", "n_shingles", F.coalesce("label", "v").alias("component"))
-    joined = signed_docs.drop("keys").join(placed, ["s1", "s2", "n_shingles"], "left")
+    found = same.select(*key, "least", "v").join(labels, F.col("v") == F.col("node"), "left").select(*key, "least", "label")
+    first = scratch.write(found.where("label is not null").groupBy("label").agg(F.min("least").alias("first")))
+    placed = found.join(small(first, first.count(), 24), "label", "left").select(*key, F.coalesce("first", "least").alias("component"))
+    joined = signed_docs.drop("keys").join(placed, key, "left")
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

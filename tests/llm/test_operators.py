@@ -113,6 +113,16 @@ def test_minhash(spark, docs, none):
     assert minhash.near_duplicates(none).count() == 0 and minhash.near_duplicates(docs).count() == docs.count()
 
 
+def test_minhash_of_repeated_ids(spark):
+    text = lambda name, other="": " ".join([*(f"{name}{k}" for k in range(60)), other])
+    rows = []
+    for g in range(0, 200, 10):  # one doc_id with three texts, and near copies of each
+        for k in range(3):
+            rows += [(g, text(f"g{g}t{k}x", "end")), (g + 1 + k, text(f"g{g}t{k}x", "stop"))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(i, i // 10 * 10, i % 10 == 0) for i, _ in rows}
+
+
 def test_bpe_equals_the_library(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
