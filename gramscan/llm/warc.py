@@ -2,9 +2,9 @@
 
 Writing: equal payloads (SHA-256 and length) of at least ``least`` bytes are stored once, by
 the row with the smallest page_id; the others become revisit records that name it.  A task
-packs records into archives of about ``archive_bytes`` and emits them as chunks of about
-``chunk_bytes``; a chunk owns a byte range and carries the rest of its last record as well,
-as a reader of a split reads on beyond it.
+packs records into archives of about ``archive_bytes`` and cuts them every ``chunk_bytes``, wherever
+that falls; a chunk owns its byte range and carries the rest of the last record that begins in it
+as well, as a reader of a split reads on beyond it.
 
 Reading: a task looks for the magic anywhere in the chunks it has, also within payloads,
 parses what follows as a header, and emits a candidate with the offset of its successor
@@ -50,24 +50,29 @@ def write(rows: DataFrame, archive_bytes: int = 16 << 20, chunk_bytes: int = 1 <
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
-        records: list[bytes] = []
+        held = bytearray()  # from the chunk's first byte on
         at = start = 0  # in the archive: the next byte, the chunk's first byte
         names = ["archive", "offset", "own", "data"]
 
-        def chunk(data: list[bytes], start: int, own: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{number:06d}"]), pa.array([start], pa.int64()), pa.array([own], pa.int64()), pa.array([b"".join(data)], pa.binary())], names=names)
+        def chunk(data: bytearray, own: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{number:06d}"]), pa.array([start], pa.int64()), pa.array([own], pa.int64()), pa.array([bytes(data)], pa.binary())], names=names)
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
-                records.append(record(row[0], row[1] or "", row[2] or b"", row[3]))
-                at += len(records[-1])
-                if at - start >= chunk_bytes or at >= archive_bytes:
-                    yield chunk(records, start, at - start)
-                    records, start = [], at
-                    if at >= archive_bytes:
-                        number, at, start = number + 1, 0, 0
-        if records:
-            yield chunk(records, start, at - start)
+                begin = at
+                held += record(row[0], row[1] or "", row[2] or b"", row[3])
+                at = start + len(held)
+                while at - start >= chunk_bytes:  # a chunk within the record has none that begins in it
+                    yield chunk(held if begin < start + chunk_bytes and begin >= start else held[:chunk_bytes], chunk_bytes)
+                    del held[:chunk_bytes]
+                    start += chunk_bytes
+                if at >= archive_bytes:
+                    if held:
+                        yield chunk(held, len(held))
+                    held.clear()
+                    number, at, start = number + 1, 0, 0
+        if held:
+            yield chunk(held, len(held))
 
     return rows.mapInArrow(run, "archive string, offset long, own long, data binary")
 

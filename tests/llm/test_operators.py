@@ -211,6 +211,23 @@ def test_warc(spark):
     assert len(got) == 6 and warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_records_across_chunks(spark):
+    odd = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    payload = {i: odd * (i % 9) + b"x" * (i * 37 % 900) for i in range(60)}
+    rows = spark.createDataFrame([(i, "http://a/", p, None) for i, p in payload.items()], "page_id long, url string, payload binary, refers_to long").coalesce(1)
+    for chunk_bytes in (7, 331, 5000):
+        chunks = warc.write(rows, archive_bytes=20_000, chunk_bytes=chunk_bytes)
+        parts = collections.defaultdict(bytes)
+        cut = chunks.orderBy("archive", "offset").collect()
+        for r in cut:
+            assert len(parts[r["archive"]]) == r["offset"] and len(r["data"]) >= r["own"] and r["own"] <= chunk_bytes
+            parts[r["archive"]] += r["data"][: r["own"]]
+        assert len(parts) > 1 and any(len(r["data"]) > r["own"] for r in cut)
+        assert b"".join(parts[a] for a in sorted(parts)) == b"".join(warc.record(i, "http://a/", p, None) for i, p in payload.items())
+        got = warc.read(chunks).collect()
+        assert {(r["page_id"], r["n"], r["sound"]) for r in got} == {(i, len(p), True) for i, p in payload.items()} and len(got) == len(payload)
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav>{}<footer>foot</footer></body></html>"
     same = "This very long boilerplate sentence is on all of the pages here."
