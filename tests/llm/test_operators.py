@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import os
+import random
 import re
 
 import numpy as np
@@ -171,6 +172,68 @@ def test_decontamination(spark, docs, none):
     assert decontam.keep_clean(df, bench).count() == df.count() - 2
 
 
+def tiled(text, item, least):
+    """Greedy string tiling by trying every pair of places."""
+    least, marked = min(least, len(item)), 0
+    text, item = list(text), list(item)
+    while item:
+        best = (0, 0, 0)
+        for a, b in itertools.product(range(len(text)), range(len(item))):
+            k = 0
+            while a + k < len(text) and b + k < len(item) and text[a + k] == item[b + k] is not None:
+                k += 1
+            if k > best[0]:
+                best = (k, a, b)
+        k, a, b = best
+        if k < least:
+            break
+        text[a : a + k] = item[b : b + k] = [None] * k
+        marked += k
+    return marked
+
+
+def test_tiles_equal_brute_force():
+    rng = random.Random(1)
+    for n in range(150):
+        letters = "ab" if n % 2 else "abcde"
+        item = [rng.choice(letters) for _ in range(rng.randint(1, 30))]
+        text = [rng.choice(letters) for _ in range(rng.randint(0, 60))]
+        for _ in range(3):
+            x, at = rng.randint(0, len(item)), rng.randint(0, len(text))
+            text[at:at] = item[x : rng.randint(x, len(item))]
+        h = textops.hash_of(text) if text else np.zeros(0, np.uint64)
+        assert decontam.tiles(h, textops.hash_of(item), 5) == tiled(text, item, 5), (text, item)
+    assert decontam.tiles(np.full(20_000, 7, np.uint64), np.full(200, 7, np.uint64), 5) == 200
+    assert decontam.tiles(textops.hash_of(list("abcdef")), textops.hash_of(list("abcdef")), 5, lambda i, j: False) == 0
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(2)
+    items = [(k % 37, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 3, 4, 5, 6, 12, 40])))) for k in range(40)] + [(77, "Zeta eta"), (78, "zeta, ETA!"), (None, "omega psi chi")]
+    rows = []
+    for k in range(80):
+        t = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 80))]
+        for _, text in rng.sample(items, 2):
+            w = text.split()
+            x, at = rng.randint(0, len(w)), rng.randint(0, len(t))
+            t[at:at] = w[x : rng.randint(x, len(w))]
+        rows.append((k % 70, " ".join(t).upper() if k % 3 else ". ".join(t)))
+    rows += [(200, "a zeta eta"), (200, "a zeta eta"), (201, "omega psi chi"), (202, None), (None, "the zeta eta"), (203, "zeta x eta")]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    alnum = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    want, clean = [], 0
+    for i, t in rows:
+        w = words(t, alnum)
+        cover = [(k, tiled(w, words(x, alnum), 5) / len(words(x, alnum))) for k, x in items if words(x, alnum)]
+        top = max(c for _, c in cover)
+        best = min(((k is not None, k or 0, k) for k, c in cover if c == top))[2] if top else None
+        want.append((i, top >= 0.5, round(top, 9), best, sorted({k for k, c in cover if c >= 0.5 and k is not None})))
+        clean += top < 0.5
+    got = [(r["doc_id"], r["contaminated"], round(r["coverage"], 9), r["item_id"], list(r["items"])) for r in decontam.find(docs, bench).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert decontam.keep_clean(docs.withColumn("t", F.lit(1)), bench).count() == clean
+
+
 def luhn(d):
     s = 0
     for k, c in enumerate(reversed(d)):
