@@ -7,15 +7,22 @@ SHA-256 value of one half to the other, modulo its radix.
 
     card     13 to 19 digits that pass Luhn: the digits before the check digit are permuted,
              then the check digit is set anew; separators stay
+    iban     two letters, two check digits and up to 30 letters and digits that pass mod 97: the
+             digits after the check digits are permuted, then these are set anew; letters stay
     phone    10 to 15 digits in the form +c (ddd) ddd-dddd and alike: the digits after a leading
-             country code
-    ssn      ddd-dd-dddd: nine digits
+             country code.  (ddd) ddd-dddd and ddd-ddd-dddd without one, where the first digit is
+             2 to 9: all digits, within that rule
+    ssn      ddd-dd-dddd with an area of 001 to 899 but 666, no group 00 and no serial 0000: the
+             number among the 898 x 99 x 9,999 of that rule
     ip       four numbers up to 255: the 32-bit address
     date     yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy that exists within 1800-2199: the day among the
              146,097 of the 400 years (189 x 773), hence always a date that exists
     email    the local part becomes 16 hexadecimal digits of a keyed hash (its length is not kept)
     secret   the value after token, key, secret or password becomes hexadecimal digits alike
 
+Patterns take time in proportion to the text and no stack, whatever it holds: unbounded repetitions
+are possessive, and one that could begin anywhere in a run may only begin at the run's start.
+
 A text is cut at the matches once, each match is replaced, and the pieces are joined again.
 Everything runs within Spark's own expressions: no Python, no shuffle.  Null and empty
 texts give an empty text and no findings.  The key must be kept secret; with it the
@@ -30,42 +37,48 @@ from pyspark.sql import functions as F
 from .shared import fresh
 
 ROUNDS = 8
-#: The value stands in the group; order decides which kind a match has.
+#: What must not stand before, the value, what must not stand after.  Order decides which kind a match has.
 KINDS = {
-    "email": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
-    "secret": r"(?i:\b(?:token|api[_-]?key|secret|password)\b\s*[=:]\s*)\"?[A-Za-z0-9/+_-]{8,}\"?",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
-    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
-    "date": r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4})(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "email": (r"(?<![\w.+-])", r"[\w.+-]++@[\w-]++(?:\.[\w-]++)++", ""),
+    "secret": ("", r"(?i:\b(?:token|api[_-]?key|secret|password)\b\s*+[=:]\s*+)\"?[A-Za-z0-9/+_-]{8,}+\"?", ""),
+    "iban": (r"(?<![A-Za-z0-9])", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?![A-Za-z0-9])"),
+    "phone": (r"(?<![\d+-])", r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4})", r"(?!\d|-\d)"),
+    "ip": (r"(?<![\d.])", r"\d{1,3}(?:\.\d{1,3}){3}", r"(?!\d|\.\d)"),
+    "date": (r"(?<!\d)", r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4})", r"(?!\d)"),
+    "ssn": (r"(?<![\d-])", r"\d{3}-\d{2}-\d{4}", r"(?![\d-])"),
+    "card": (r"(?<![\d-])", r"\d(?:[ -]?\d){12,18}", r"(?![\d-])"),
 }
-PATTERN = "|".join(KINDS.values())
+PATTERN = "|".join(map("".join, KINDS.values()))
 
 
-def _round(key: str, kind: str, i: Column, half: Column, radix: int) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), half.cast("string")), 256)
-    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(radix))
+def _round(key: str, kind: Column, i: Column, half: Column, radix: Column) -> Column:
+    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, i.cast("string"), half.cast("string")), 256)
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), radix)
 
 
-def feistel(value: Column, a: int, b: int, key: str, kind: str) -> Column:
+def feistel(value: Column, a: Column | int, b: Column | int, key: str, kind: Column | str) -> Column:
     """A keyed permutation of 0..ab-1."""
-    start = F.struct(F.floor(value / b).cast("long").alias("l"), F.pmod(value, F.lit(b)).cast("long").alias("r"))
+    a, b, kind = (x if isinstance(x, Column) else F.lit(x) for x in (a, b, kind))
+    whole = F.call_function("div", value, b)  # a quotient of doubles is inexact from 2^53 on
+    start = F.struct(whole.alias("l"), F.pmod(value, b).cast("long").alias("r"))
 
     def step(s: Column, i: Column) -> Column:
-        left = F.pmod(s["l"] + _round(key, kind, i * 2, s["r"], a), F.lit(a))
-        return F.transform(F.array(left), lambda l: F.struct(l.alias("l"), F.pmod(s["r"] + _round(key, kind, i * 2 + 1, l, b), F.lit(b)).alias("r")))[0]
+        left = F.pmod(s["l"] + _round(key, kind, i * 2, s["r"], a), a)
+        return F.transform(F.array(left), lambda l: F.struct(l.alias("l"), F.pmod(s["r"] + _round(key, kind, i * 2 + 1, l, b), b).alias("r")))[0]
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS // 2 - 1)), start, step, lambda s: s["l"] * b + s["r"])
 
 
-def _digits_permuted(digits: Column, sizes: range, key: str, kind: str) -> Column:
-    """A permutation of digit strings of each length."""
-    out = F.lit(None).cast("string")
-    for n in sizes:
-        new = feistel(digits.cast("long"), 10 ** (n // 2), 10 ** (n - n // 2), key, f"{kind}{n}")
-        out = F.when(F.length(digits) == n, F.lpad(new.cast("string"), n, "0")).otherwise(out)
-    return out
+def _digits_permuted(digits: Column, key: str, kind: Column | str) -> Column:
+    """A permutation of the digit strings of each length up to 18; an empty string stays."""
+    powers = F.array(*[F.lit(10**k).cast("long") for k in range(10)])
+
+    def new(n: Column) -> Column:
+        half = F.floor(n / 2).cast("int")
+        name = F.concat(kind if isinstance(kind, Column) else F.lit(kind), n.cast("string"))
+        return F.lpad(feistel(digits.cast("long"), F.get(powers, half), F.get(powers, n - half), key, name).cast("string"), n, F.lit("0"))
+
+    return _let(F.length(digits), lambda n: F.when(n == 0, "").when(n <= 18, new(n)))
 
 
 def _luhn_sum(digits: Column, double_last: bool) -> Column:
@@ -97,16 +110,50 @@ def _let(value: Column, use) -> Column:
 def _card(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
         body = F.substring(d, F.lit(1), F.length(d) - 1)
-        permuted = _digits_permuted(body, range(12, 19), key, "card")
-        return _let(permuted, lambda p: _filled(m, F.concat(p, F.pmod(F.lit(10) - _luhn_sum(p, True) % 10, F.lit(10)).cast("string"))))
+        return _let(_digits_permuted(body, key, "card"), lambda p: _filled(m, F.concat(p, F.pmod(F.lit(10) - _luhn_sum(p, True) % 10, F.lit(10)).cast("string"))))
 
     return _let(F.regexp_replace(m, "[^0-9]", ""), lambda d: F.when(_luhn_sum(d, False) % 10 == 0, new(d)).otherwise(m))
 
 
+def _remainder(text: Column) -> Column:
+    """Modulo 97, with letters as two digits."""
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda s, c: F.when(c.between("0", "9"), (s * 10 + F.ascii(c) - 48) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97))
+
+
+def _iban(m: Column, key: str) -> Column:
+    """The digits after the check digits in two parts: the last 18, then the others under these."""
+    land, form = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
+
+    def new(d: Column) -> Column:
+        last = F.substring(d, F.greatest(F.length(d) - 17, F.lit(1)), F.lit(18))
+        first = F.substring(d, F.lit(1), F.greatest(F.length(d) - 18, F.lit(0)))
+        permuted = _let(_digits_permuted(last, key, "iban"), lambda p: F.concat(_digits_permuted(first, key, F.concat(F.lit("iban"), p)), p))
+        check = lambda f: F.lpad((F.lit(98) - _remainder(F.concat(F.translate(f, " ", ""), land, F.lit("00")))).cast("string"), 2, "0")
+        return _let(_let(permuted, lambda p: _filled(form, p)), lambda f: F.concat(land, check(f), f))
+
+    valid = _remainder(F.translate(F.concat(form, F.substring(m, 1, 4)), " ", "")) == 1
+    return F.when(valid & (F.length(F.translate(m, " ", "")) <= 34), _let(F.regexp_replace(form, "[^0-9]", ""), new)).otherwise(m)
+
+
 def _phone(m: Column, key: str) -> Column:
     code = F.regexp_extract(m, r"^\+\d{1,3}", 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return _let(F.regexp_replace(rest, "[^0-9]", ""), lambda d: F.when(F.length(d).between(7, 14), F.concat(code, _filled(rest, _digits_permuted(d, range(7, 15), key, "phone")))).otherwise(m))
+    abroad = _let(F.regexp_replace(rest, "[^0-9]", ""), lambda d: F.when(F.length(d).between(7, 14), F.concat(code, _filled(rest, _digits_permuted(d, key, "phone")))).otherwise(m))
+    at_home = _let(feistel(F.regexp_replace(m, "[^0-9]", "").cast("long") - 2 * 10**9, 80_000, 100_000, key, "phone"), lambda v: _filled(m, (v + 2 * 10**9).cast("string")))
+    return F.when(m.startswith("+"), abroad).otherwise(at_home)
+
+
+def _ssn(m: Column, key: str) -> Column:
+    area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    number = (area - F.when(area < 666, 1).otherwise(2)) * (99 * 9999) + (group - 1) * 9999 + serial - 1
+
+    def text(v: Column) -> Column:
+        place = F.call_function("div", v, F.lit(99 * 9999))
+        parts = (place + F.when(place < 665, 1).otherwise(2), F.pmod(F.call_function("div", v, F.lit(9999)), F.lit(99)) + 1, F.pmod(v, F.lit(9999)) + 1)
+        return F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in zip(parts, (3, 2, 4), strict=True)])
+
+    return F.when(valid, _let(feistel(number, 898, 99 * 9999, key, "ssn"), text)).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -142,23 +189,19 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(head, F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256), 1, 32), F.when(m.endswith("\""), "\"").otherwise(""))
 
 
-def _bare(kind: str) -> Column:
-    return F.lit("^(?:" + KINDS[kind].replace(r"(?<![\d.])", "").replace(r"(?<![\d-])", "").replace(r"(?<!\d)", "").replace(r"(?![\d]|\.\d)", "").replace(r"(?![\d-])", "").replace(r"(?!\d)", "") + ")$")
-
-
 def kind_of(m: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind in reversed(KINDS):
-        out = F.when(F.regexp_like(m, _bare(kind)), F.lit(kind)).otherwise(out)
+        out = F.when(F.regexp_like(m, F.lit(f"^(?:{KINDS[kind][1]})$")), F.lit(kind)).otherwise(out)
     return out
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
-    ssn = _filled(m, _digits_permuted(F.regexp_replace(m, "-", ""), range(9, 10), key, "ssn"))
-    return (
-        F.when(kind == "email", _email(m, key)).when(kind == "secret", _secret(m, key)).when(kind == "phone", _phone(m, key))
-        .when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key)).when(kind == "ssn", ssn).when(kind == "card", _card(m, key)).otherwise(m)
-    )
+    of = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card}
+    out = m
+    for name, new in of.items():
+        out = F.when(kind == name, new(m, key)).otherwise(out)
+    return out
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ import itertools
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -259,6 +260,40 @@ def test_pii(spark, docs, none):
     assert n.count() == 189 * 773
 
 
+def test_pii_formats_and_validity(spark):
+    def iban(text):
+        t = text.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+    kept = ["000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000", "DE89 3704 0044 0532 0130 01", "(155) 123-4567", "2001-02-29", "4111111111111112", "300.1.1.1"]
+    changed = {
+        "123-45-6789": r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", "(555) 123-4567": r"\([2-9]\d{2}\) \d{3}-\d{4}", "743-555-3824": r"[2-9]\d{2}-\d{3}-\d{4}",
+        "DE89 3704 0044 0532 0130 00": r"DE\d{2}( \d{4}){4} \d{2}", "GB82WEST12345698765432": r"GB\d{2}WEST\d{14}", "MT84MALT011000012345MTLCAST001S": r"MT\d{2}MALT\d{12}MTLCAST\d{3}S",
+        "2000-02-29": r"\d{4}-\d{2}-\d{2}", "+49 (30) 1234567": None, "4111-1111-1111-1111": r"\d{4}-\d{4}-\d{4}-\d{4}",
+    }
+    rows = [*enumerate(kept), *((100 + k, f"so {text}, it is") for k, text in enumerate(changed))]
+    got = table(pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    assert [got[k]["text"] for k in range(len(kept))] == kept
+    for k, (text, shape) in enumerate(changed.items()):
+        new = got[100 + k]["text"]
+        assert text not in new and (shape is None or re.fullmatch(f"so {shape}, it is", new)), new
+        assert not text[:2].isalpha() or iban(new[3:-7])
+    rows = spark.range(20_000).select((F.col("id") * 44_000).alias("v"))
+    assert rows.select(pii.feistel(F.col("v"), 898, 99 * 9999, "k", "ssn").alias("x")).where(f"x between 0 and {898 * 99 * 9999 - 1}").distinct().count() == 20_000
+    big = spark.range(1000).select((F.lit(10**18 - 1) - F.col("id")).cast("string").alias("d")).select(pii._digits_permuted(F.col("d"), "k", "x").alias("x")).where("length(x) = 18").distinct()
+    assert big.count() == 1000
+
+
+def test_pii_on_very_long_texts(spark):
+    n = 1_000_000
+    texts = ["x@" + "a." * (n // 2), "a" * n, "1" * n, "1 " * (n // 2), "a.b@" * (n // 4), "." * n, "-" * n, "token" + " " * n, "token=" * (n // 6), "AB12" * (n // 4), "1.1." * (n // 4), "+1 " * (n // 3), "_" * n + "@x.org"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    begin = time.monotonic()
+    got = table(pii.pseudonymise(df, "k"))
+    assert len(got) == len(texts) and got[1]["text"] == texts[1] and got[12]["n_found"] == 1
+    assert time.monotonic() - begin < 120
+
+
 def test_warc(spark):
     odd = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     pages = spark.createDataFrame([(1, "http://a/ b", "x"), (2, None, None), (3, "u", odd), (4, "u", "x"), (5, "u", ""), (6, "u", "x" * 100_000)], "page_id long, url string, html string")
