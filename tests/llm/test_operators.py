@@ -408,6 +408,85 @@ def test_toxicity_by_pairs_alone(spark):
     assert mine.any() and model.pair[:, :-1][:, mine].sum(1) + model.back[:, h] == pytest.approx([1, 1])
 
 
+def test_toxicity_model_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows, marks = [], []
+    for i in range(300):
+        t = [f"w{k}" for k in rng.zipf(1.6, 25) % 60]
+        bad = i % 3 == 0
+        if bad:
+            t[3:5] = ["nasty", "words"]
+            t[9] = f"vilest{i}"
+        elif i % 2:
+            t[7:9] = ["words", "fine"]
+        rows.append((i, " ".join(t)))
+        marks.append((i, 1, int(bad), 0.0))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, marks)
+    model = toxicity.fit(df, lab)
+    learned = {r["doc_id"] for r in df.where(~toxicity.held_out(F.col("doc_id")) & (F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(4)) != 0)).collect()}
+    texts = {i: t.split() for i, t in rows if i in learned}
+    word, pair, stem = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    for i, t in texts.items():
+        word[i % 3 == 0].update(set(t))
+        pair[i % 3 == 0].update(set(zip([None, *t], t, strict=False)))
+
+    def shown(n0, n1, odds, m):
+        f, n = n1 / (n0 + n1), n0 + n1
+        for p, above in ((2 * odds / (1 + 2 * odds), True), (odds / 2 / (1 + odds / 2), False)):
+            kl = (f * np.log(f / p) if f else 0) + ((1 - f) * np.log((1 - f) / (1 - p)) if f < 1 else 0)
+            if (f > p) == above and f != p and n * kl > np.log(m):
+                return True
+        return False
+
+    sums = [sum(c.values()) for c in word]
+    types = [len(c) for c in word]
+    spread = [len(c) for c in pair]
+    every = set(word[0]) | set(word[1])
+    own = {w for w in every if shown(word[0][w], word[1][w], sums[1] / sums[0], len(every))}
+    for i, t in texts.items():
+        stem[i % 3 == 0].update({(n, w[:n]) for w in t if w not in own for n in toxicity.STEMS if len(w) >= n})
+    all_stems = set(stem[0]) | set(stem[1])
+    own_stems = {s for s in all_stems if shown(stem[0][s], stem[1][s], sums[1] / sums[0], len(all_stems))}
+
+    def lower(c, seen, totals):
+        return max(seen[c] - 0.75, 0) / totals[c] + 0.75 * types[c] / totals[c] * sum(seen) / sum(totals)
+
+    preds = {w: [sum(x == w for _, x in pair[c]) for c in (0, 1)] for w in every}
+    p_word = {w: [lower(c, preds[w], spread) for c in (0, 1)] for w in own}
+    p_stem = {s: [lower(c, [stem[0][s], stem[1][s]], sums) for c in (0, 1)] for s in own_stems}
+    left = [1 - sum(p[c] for p in [*p_word.values(), *p_stem.values()]) for c in (0, 1)]
+    history = [collections.Counter(), collections.Counter()]
+    for c in (0, 1):
+        for (h, _), n in pair[c].items():
+            history[c][h] += n
+    prior = sums[1] / sum(sums)
+    both = set(pair[0]) | set(pair[1])
+    p_pair = {x: [max(pair[c][x] - 0.75, 0) / (history[c][x[0]] + 5) for c in (0, 1)] for x in both if shown(pair[0][x], pair[1][x], (history[1][x[0]] + prior) / (history[0][x[0]] + 1 - prior), len(both))}
+    back = {h: [1 - sum(p[c] for (x, _), p in p_pair.items() if x == h) for c in (0, 1)] for h in [*history[0], *history[1]]}
+
+    def difference(t):
+        total = []
+        for h, w in zip([None, *t], t, strict=False):
+            s = next(((n, w[:n]) for n in toxicity.STEMS if (n, w[:n]) in own_stems and len(w) >= n), None)
+            shared = sum(preds[w]) / sum(spread) if w in preds else 1
+            p = p_word[w] if w in own else p_stem[s] if s else [x * shared for x in left]
+            q = [p_pair.get((h, w), [0, 0])[c] + back.get(h, [1, 1])[c] * p[c] for c in (0, 1)]
+            total.append(np.log(q[1] / q[0]))
+        return np.mean(total)
+
+    assert own and own_stems and p_pair and len(model.pairs) == len(p_pair)
+    some = [t for _, t in rows[:40]] + ["nasty words", "words fine unknownword vilestxyz"]
+    ((_, _, w),) = textops.word_runs(pa.array(some), textops.NOT_ALNUM)
+    assert model.difference(w) == pytest.approx([difference(t.split()) for t in some], abs=1e-9)
+    assert model.curve[1] > 0
+
+
+def test_toxicity_with_other_ids(spark):
+    df = spark.createDataFrame([(f"d{i}", "fine words" if i % 2 else "vile words") for i in range(60)], "doc_id string, text string")
+    lab = spark.createDataFrame([(f"d{i}", 1 - i % 2) for i in range(60)], "doc_id string, toxic int")
+    assert toxicity.score(df, toxicity.fit(df, lab)).count() == 60
+
+
 def test_lm_score(spark, docs, none):
     target = spark.createDataFrame([(3,), (5,), (5,), (None,)], "doc_id long")
     got = table(lm_score.score(docs, target))
