@@ -1,10 +1,10 @@
 """Byte-level BPE with word ends, encoded through a pair occurrence index.
 
-All new words of a batch are laid out in one array of symbols, and an index holds the rank
-of the pair at each position.  Active ranks are applied in ascending order: words share no
-pairs, so a round takes the next rank of every word at once, merges all its positions and
-updates the index beside them.  The number of rounds is that of the merges of one word, not
-that of the ranks in use.
+All new words of a block of a partition's texts are laid out in one row of symbols, and an index maps each
+pair that a merge exists for, by the merge's rank, to all its positions.  The lowest active rank
+is taken next: it is applied at its positions from left to right, and each merge adds the pairs that it makes with its
+neighbours to their lists.  A position whose pair another merge has taken is passed over.  Should
+a merge make a pair of a lower rank than its own, that comes first, as in a queue of single merges.
 
 Words repeat, so results are kept in a bounded table, which a task gives back at its end; a
 batch encodes only words that the table lacks.  Texts are read whole; null is an empty text.  There is no shuffle.
@@ -17,7 +17,9 @@ that is looked up.  Decoding without a decoder in the file joins the tokens by a
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import heapq
 import json
 import unicodedata
 
@@ -29,8 +31,8 @@ from pyspark.sql import DataFrame
 from .shared import fresh
 from .textops import raw, release
 
-#: Stretches that a task remembers.
-REMEMBERED = 150_000
+#: Stretches of a generation that a task remembers; it has two, and what is met again moves to the young one.
+REMEMBERED = 100_000
 _NONE = np.int32(2**31 - 1)
 _GAP = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
@@ -57,97 +59,141 @@ class Bpe:
         for rank, pair in enumerate(model["merges"]):
             x, y = pair if isinstance(pair, list) else pair.split(" ")
             merges.setdefault(self.vocab[x] << 20 | self.vocab[y], (rank, self.vocab[x + y]))
-        self.made = np.zeros(len(model["merges"]) + 1, np.int32)
-        for rank, made in merges.values():
-            self.made[rank] = made
+        self.merges = {key: rank for key, (rank, _) in merges.items()}
+        self.left, self.right, self.made = ([0] * len(model["merges"]) for _ in range(3))
+        for key, (rank, made) in merges.items():
+            self.left[rank], self.right[rank], self.made[rank] = key >> 20, key & 0xFFFFF, made
         self.pair_keys = np.array(sorted(merges), np.int64)
         self.pair_ranks = np.array([merges[k][0] for k in self.pair_keys.tolist()], np.int32)
         self.inner, self.final = (np.array([self.vocab[c + e] for c in byte_characters()], np.int32) for e in ("", self.end))
         self.pattern = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.letters = "[\\p{L}]+" in self.pattern.pattern.split("|")  # a run of letters is a word
+        self.forget()
 
-    def split(self, stretch: str) -> list[str | int]:
-        """Words of a stretch without white space; special tokens as their ids."""
+    def split(self, stretch: str, special: bool = True) -> list[str | int]:
+        """Words of a stretch without white space; special tokens, if it may hold any, as their ids."""
         out: list[str | int] = []
-        for part in self.cut.split(stretch) if self.cut else [stretch]:
+        for part in self.cut.split(stretch) if special and self.cut else [stretch]:
             if part in self.special:
                 out.append(self.special[part])
-            elif part:
-                out += self.pattern.findall("".join(map(str.lower, unicodedata.normalize("NFC", part))) if not part.isascii() else part.lower())
+            elif part.isascii():
+                if self.letters and part.isalpha():
+                    out.append(part.lower())
+                elif part:
+                    out += self.pattern.findall(part.lower())
+            else:
+                out += self.pattern.findall("".join(map(str.lower, unicodedata.normalize("NFC", part))))
         return out
 
     def merge(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word.
-
-        The occurrence index is held in arrays: ``rank[i]`` is the rank of the pair at position
-        i, if it is active.  Words don't share pairs, so each round applies the next rank of
-        every word at all positions that have it, then re-ranks the positions beside them."""
-        out: list[list[int]] = [[]] * len(words)
+        """Token ids of each word."""
         if not words:
-            return out
+            return []
         data = [w.encode("utf-8") for w in words]
         buf = np.frombuffer(b"".join(data), np.uint8)
-        last = np.cumsum([len(d) for d in data]) - 1
-        sym = self.inner[buf]
-        sym[last] = self.final[buf[last]]
-        word = np.repeat(np.arange(len(words)), np.diff(last, prepend=-1))
-        rank = self.ranks(sym, word, np.arange(len(sym)))
-        while True:
-            start = np.flatnonzero(np.diff(word, prepend=-1))
-            size = np.diff(start, append=len(word))
-            lowest = np.minimum.reduceat(rank, start)
-            done = lowest == _NONE
-            if done.any():
-                ids, ends = sym[np.repeat(done, size)].tolist(), np.cumsum(size[done]).tolist()
-                lo = 0
-                for w, hi in zip(word[start[done]].tolist(), ends, strict=True):
-                    out[w] = ids[lo:hi]
-                    lo = hi
-                if done.all():
-                    return out
-                left = np.repeat(~done, size)
-                sym, word, rank = sym[left], word[left], rank[left]
-                size, lowest = size[~done], lowest[~done]
-            at = np.flatnonzero(rank == np.repeat(lowest, size))
-            run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of touching pairs, as in aaaa, every other one
-            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0]
-            sym[at] = self.made[rank[at]]
-            stay = np.ones(len(sym), bool)
-            stay[at + 1] = False
-            at = (np.cumsum(stay) - 1)[at]
-            sym, word, rank = sym[stay], word[stay], rank[stay]
-            for near in (at, np.maximum(at - 1, 0)):
-                rank[near] = self.ranks(sym, word, near)
-
-    def ranks(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Ranks of the pairs that begin at the given positions; _NONE where a word ends or no merge fits."""
-        after = np.minimum(at + 1, len(sym) - 1)
-        key = sym[at].astype(np.int64) << 20 | sym[after]
+        ends = np.cumsum([len(d) for d in data])
+        symbols = self.inner[buf]
+        symbols[ends - 1] = self.final[buf[ends - 1]]
+        rank = self.ranks(symbols)
+        rank[ends - 1] = _NONE
+        at = np.flatnonzero(rank != _NONE)
+        at = at[np.argsort(rank[at], kind="stable")]
+        cut = np.flatnonzero(np.diff(rank[at], prepend=-1))
+        index = dict(zip(rank[at[cut]].tolist(), (x.tolist() for x in np.split(at, cut[1:])), strict=True)) if len(at) else {}
+        active = list(index)  # ascending, hence a heap
+        sym = symbols.tolist()
+        after = list(range(1, len(sym) + 1))
+        before = list(range(-1, len(sym) - 1))
+        for x in ends.tolist():
+            after[x - 1] = -1
+            if x < len(sym):
+                before[x] = -1
+        ranks, made, left, right = self.merges, self.made, self.left, self.right
+        while active:
+            r = heapq.heappop(active)
+            places = index.pop(r)
+            places.sort()
+            x, y, new = left[r], right[r], made[r]
+            for k, p in enumerate(places):
+                q = after[p]
+                if sym[p] != x or q < 0 or sym[q] != y:
+                    continue
+                sym[p], sym[q] = new, -1
+                n, b, lower = after[q], before[p], False
+                after[p] = n
+                if n >= 0:
+                    before[n] = p
+                    got = ranks.get(new << 20 | sym[n])
+                    if got is not None:
+                        lower = got < r
+                        if got in index:
+                            index[got].append(p)
+                        else:
+                            index[got] = [p]
+                            heapq.heappush(active, got)
+                if b >= 0:
+                    got = ranks.get(sym[b] << 20 | new)
+                    if got is not None:
+                        lower |= got < r
+                        if got in index:
+                            index[got].append(b)
+                        else:
+                            index[got] = [b]
+                            heapq.heappush(active, got)
+                if lower and k + 1 < len(places):
+                    rest = index.setdefault(r, [])
+                    if not rest:
+                        heapq.heappush(active, r)
+                    rest += places[k + 1 :]
+                    break
+        out, lo = [], 0
+        for hi in ends.tolist():
+            out.append([s for s in sym[lo:hi] if s >= 0])
+            lo = hi
+        return out
+
+    def ranks(self, symbols: np.ndarray) -> np.ndarray:
+        """The rank of the pair at each position; _NONE where no merge fits."""
+        key = np.append(symbols[:-1].astype(np.int64) << 20 | symbols[1:], -1)
         i = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[i] == key) & (word[at] == word[after]) & (after > at), self.pair_ranks[i], _NONE)
+        return np.where(self.pair_keys[i] == key, self.pair_ranks[i], _NONE)
 
     def forget(self) -> None:
-        self.known, self.words = {}, {}
+        self.known: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, tuple[int, str, str]] = {}
+        self.old_known, self.old_words = {}, {}
+
+    def lacking(self, of: set[str], known: dict, old: dict) -> set[str]:
+        """Those that neither table has; what only the old one has moves to the other."""
+        rest = of - known.keys()
+        again = rest & old.keys()
+        known.update((x, old[x]) for x in again)
+        return rest - again
 
     def learn(self, stretches: list[str]) -> None:
-        parts = [self.split(s) for s in stretches]
-        new = list({w: None for p in parts for w in p if isinstance(w, str) and w not in self.words})
-        self.words.update(zip(new, self.merge(new), strict=True))
+        joined = "\n".join(stretches)
+        special = any(x in joined for x in self.special)
+        parts = [self.split(s, special) for s in stretches]
+        new = list(self.lacking({w for p in parts for w in p if isinstance(w, str)}, self.words, self.old_words))
         names, digits, words, known = self.names, self.digits, self.words, self.known
+        for w, ids in zip(new, self.merge(new), strict=True):
+            words[w] = len(ids), " ".join([digits[i] for i in ids]), " ".join([names[i] for i in ids])
         for s, p in zip(stretches, parts, strict=True):
             if len(p) == 1 and isinstance(p[0], str):
-                ids = words[p[0]]
+                known[s] = words[p[0]]
             else:
-                ids = [i for w in p for i in ((w,) if isinstance(w, int) else words[w])]
-            known[s] = (len(ids), " ".join([digits[i] for i in ids]), " ".join([names[i] for i in ids]))
+                got = [words[w] if isinstance(w, str) else (1, digits[w], names[w]) for w in p]
+                n, ids, text = zip(*got, strict=True) if got else ((), (), ())
+                known[s] = sum(n), " ".join(ids), " ".join(text)
 
     def encode(self, texts: list[str], simple: bool = False) -> list[tuple[int, str, str]]:
         """(tokens, ids by spaces, decoded text) of each text; simple: Python's own split is exact here."""
         cut = [t.split() if simple else [s for s in _GAP.split(t) if s] for t in texts]
-        if len(self.known) > REMEMBERED or len(self.words) > REMEMBERED:
-            self.forget()
-        new = set().union(*cut) - self.known.keys()
+        if len(self.known) > REMEMBERED:
+            self.known, self.old_known = {}, self.known
+        if len(self.words) > REMEMBERED:
+            self.words, self.old_words = {}, self.words
+        new = self.lacking(set().union(*cut), self.known, self.old_known)
         if new:
             self.learn(list(new))
         known, out = self.known, []
@@ -177,6 +223,15 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        collecting = gc.isenabled()
+        gc.disable()  # the tables hold no cycles, and walking them again and again takes a fifth of the time
+        try:
+            yield from encoded(batches)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def encoded(batches):
         bpe = loaded(path)
         for batch in batches:
             column = batch.column("text")

@@ -140,6 +140,38 @@ def test_bpe_equals_the_library(docs, none):
     assert bpe.encode(none, path).count() == 0
 
 
+def test_bpe_merges_equal_brute_force():
+    import public_tokenizers
+
+    b = bpe.loaded(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("aaabcdeé") for _ in range(rng.randint(1, 14))) for _ in range(400)] + ["a" * n for n in range(1, 20)]
+
+    def one(w):
+        data = w.encode()
+        sym = [int(b.inner[x]) for x in data[:-1]] + [int(b.final[data[-1]])]
+        while True:
+            ranked = [(b.merges[x << 20 | y], k) for k, (x, y) in enumerate(itertools.pairwise(sym)) if x << 20 | y in b.merges]
+            if not ranked:
+                return sym
+            r, k = min(ranked)
+            sym[k : k + 2] = [b.made[r]]
+
+    assert b.merge(vocabulary) == [one(w) for w in vocabulary] and b.merge([]) == []
+    # a merge that makes a pair of a lower rank than its own: that pair comes first
+    small = object.__new__(bpe.Bpe)
+    small.inner, small.final = np.arange(256, dtype=np.int32), np.arange(256, dtype=np.int32)
+    a, x, y, z, s, t, u = *map(ord, "axyz"), 300, 301, 302
+    small.merges = {x << 20 | y: 5, s << 20 | z: 2, z << 20 | x: 7, t << 20 | x: 6}
+    small.left, small.right, small.made = [0] * 8, [0] * 8, [0] * 8
+    for (key, r), new in zip(small.merges.items(), (s, t, u, 303), strict=True):
+        small.left[r], small.right[r], small.made[r] = key >> 20, key & 0xFFFFF, new
+    small.pair_keys = np.array(sorted(small.merges), np.int64)
+    small.pair_ranks = np.array([small.merges[k] for k in small.pair_keys.tolist()], np.int32)
+    b = small
+    assert small.merge(["xyzxy", "xyz", "zxy"]) == [one(w) for w in ("xyzxy", "xyz", "zxy")]
+
+
 def test_licenses(docs, none):
     got = table(license_scan.scan(docs))
     for i, t in enumerate(TEXTS):
