@@ -1,15 +1,16 @@
 """Cross-entropy difference between a target and a background bigram model of words.
 
-Both models share one vocabulary, all words of the corpus, and have the same form:
+The target is counted over the documents whose ids are in the target table, the background over all
+others.  Both share one vocabulary, all words of the corpus, and its distribution P0(w) = n(w) / n, and have
+the same form and size:
 
-    P(w | h) = (n(h w) + k P(w)) / (n(h) + k)
+    P(w)     = (r c(w) + k P0(w)) / (r c + k)
+    P(w | h) = (r c(h w) + k P(w)) / (r c(h) + k)
 
-with k = ``LEAN`` and P(w) for a text's first word.  The background is counted over every document,
-and its P(w) is n(w) / n; the target is counted over the documents whose ids are in the target
-table, and its P(w) leans on the background's likewise: (n(w) + k P_background(w)) / (n + k).  A
-document's score is the mean over its tokens of ``-log P_target + log P_background``; lower means
-closer to the target.  A document of the target doesn't vouch for itself: its own counts are taken
-off the target's first.
+with k = ``LEAN``, P(w) for a text's first word, and r the smaller model's tokens over the model's own,
+so both lean on their backoff alike though one has more text.  A document's score is the mean over its
+tokens of ``-log P_target + log P_background``; lower means closer to the target.  No document vouches
+for itself: its own counts are taken off the model that it belongs to first.
 
 Tables of words and pairs grow with the corpus, so no task ever holds them all:
 
@@ -29,8 +30,8 @@ Hashes have 63 bits; a collision, of which a trillion keys have some 60,000, mer
 Lists travel as steps between keys, and all numbers by byte planes, whose high ones are mostly 0
 and vanish in the shuffle's compression.
 
-Null and empty texts have no tokens and get the score 0.  Without target rows P_target is the
-background's P(w).  Rows that repeat a doc_id count one by one.
+Null and empty texts have no tokens and get the score 0.  Without target rows, or
+without others, that model is P0.  Rows that repeat a doc_id count one by one.
 """
 
 from __future__ import annotations
@@ -144,40 +145,48 @@ def _totals(table: pa.Table) -> pa.Table:
     return _flow([(o, k, o, None, n, m, None) for o, k, n, m in zip(table.column("owner").to_pylist(), table.column("chunk").to_pylist(), *back, strict=True)])
 
 
-def losses(n: np.ndarray, m: np.ndarray, n_all: float, m_all: np.ndarray | float) -> np.ndarray:
-    """-log P_target + log P_background of tokens; n, m: [3, tokens] counts of word, history, pair."""
-    background = n[0] / n_all
-    target = (m[0] + LEAN * background) / (m_all + LEAN)
-    return np.log((n[2] + LEAN * background) / (n[1] + LEAN)) - np.log((m[2] + LEAN * target) / (m[1] + LEAN))
+def losses(n: np.ndarray, n_all: float, target: np.ndarray, of_target: np.ndarray, background: np.ndarray, of_background: np.ndarray, ratio: tuple[float, float]) -> np.ndarray:
+    """-log P_target + log P_background of tokens.
 
+    n: counts of their words, of n_all; target, background: [3, tokens] counts of word, history, pair, and the models' tokens."""
 
-def own_counts(at: np.ndarray) -> np.ndarray:
+    def model(c: np.ndarray, total: np.ndarray, r: float) -> np.ndarray:
+        lower = (r * c[0] + LEAN * n / n_all) / (r * total + LEAN)
+        return np.log((r * c[2] + LEAN * lower) / (r * c[1] + LEAN))
+
+    return model(background, of_background, ratio[1]) - model(target, of_target, ratio[0])
+
+
+def own_counts(at: np.ndarray, row: np.ndarray) -> np.ndarray:
     """How often the document itself holds the word, history and pair of each of its tokens."""
     out = np.zeros(at.shape, np.int64)
-    for k, of in ((0, at[0]), (2, at[2, 1:])):
-        _, back, times = np.unique(of, return_inverse=True, return_counts=True)
-        out[k, k // 2 :] = times[back]
-    out[1, 1:] = out[0, :-1]
+    later = np.flatnonzero(row[1:] == row[:-1]) + 1
+    for k, some in ((0, np.arange(len(row))), (2, later)):
+        _, back, times = np.unique(row[some] << 32 | at[k, some], return_inverse=True, return_counts=True)
+        out[k, some] = times[back]
+    out[1, later] = out[0, later - 1]
     return out
 
 
 def _scored(n_all: int, m_all: int):
+    rest = n_all - m_all
+    ratio = (min(1.0, rest / m_all) if m_all and rest else 1.0, min(1.0, m_all / rest) if m_all and rest else 1.0)
+
     def run(table: pa.Table) -> pa.Table:
         blocks = [x for x in table.column("texts").to_pylist() if x is not None]
         docs = pa.ipc.open_stream(blocks[0]).read_all().combine_chunks()
         size, keys, at = layout(docs.column("text"))
         answers = table.filter(pa.compute.is_valid(table.column("owner"))).sort_by("owner")
-        n, m = (np.concatenate([*(unpack(x, np.int64) for x in answers.column(c).to_pylist()), [0]]).astype(float) for c in ("n", "m"))
+        n, m = (np.concatenate([*(unpack(x, np.int64) for x in answers.column(c).to_pylist()), [0]]) for c in ("n", "m"))
         if len(blocks) != 1 or len(n) != len(keys) + 1:
             raise RuntimeError("a chunk's lists aren't those of its texts: the rows' order changed between attempts")
-        m_of, total = m[at], np.full(at.shape[1], float(m_all))
-        end = np.cumsum(size)
-        for r in np.flatnonzero(docs.column("wanted").to_numpy() & (size > 0)).tolist():
-            part = slice(end[r] - size[r], end[r])
-            m_of[:, part] -= own_counts(at[:, part])
-            total[part] -= size[r]
-        each = losses(n[at], m_of, max(n_all, 1), total)
-        mean = np.bincount(np.repeat(np.arange(len(size)), size), each, len(size)) / np.maximum(size, 1)
+        row = np.repeat(np.arange(len(size)), size)
+        own, wanted = own_counts(at, row), docs.column("wanted").to_numpy()[row]
+        target, background = m[at], (n - m)[at]
+        target -= own * wanted
+        background -= own * ~wanted
+        each = losses(n[at[0]], max(n_all, 1), target, m_all - wanted * size[row], background, rest - ~wanted * size[row], ratio)
+        mean = np.bincount(row, each, len(size)) / np.maximum(size, 1)
         return pa.table([docs.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(mean)], names=["doc_id", "n_tokens", "ce_diff"])
 
     return run

@@ -531,16 +531,20 @@ def test_lm_score(spark, docs, none):
             pair.update(itertools.pairwise(t))
         return word, pair
 
-    k = lm_score.LEAN
+    k, wanted = lm_score.LEAN, (3, 5)
+    tokens = [sum(len(x) for d, x in every if (d in wanted) == of) for of in (True, False)]
+    p0, _ = counted([x for _, x in every])
     for i in (4, 5, 8, 9, 10, 11, 13):
         t = next(x for d, x in every if d == i)
-        (w0, p0), (w1, p1) = counted([x for _, x in every]), counted([x for d, x in every if d in (3, 5) and d != i])
-        each = []
-        for h, w in zip([None, *t], t, strict=False):
-            b = w0[w] / w0.total()
-            a = (w1[w] + k * b) / (w1.total() + k)
-            each.append(np.log((p0[h, w] + k * b) / (w0[h] + k)) - np.log((p1[h, w] + k * a) / (w1[h] + k)))
-        assert got[i]["ce_diff"] == pytest.approx(np.mean(each), abs=1e-9) and got[i]["n_tokens"] == len(t)
+        loss = []
+        for of in (True, False):
+            word, pair = counted([x for d, x in every if (d in wanted) == of and d != i])
+            r, total = min(tokens) / tokens[not of], []
+            for h, w in zip([None, *t], t, strict=False):
+                lower = (r * word[w] + k * p0[w] / p0.total()) / (r * word.total() + k)
+                total.append(-np.log((r * pair[h, w] + k * lower) / (r * word[h] + k)))
+            loss.append(np.mean(total))
+        assert got[i]["ce_diff"] == pytest.approx(loss[0] - loss[1], abs=1e-9) and got[i]["n_tokens"] == len(t)
     assert got[0]["ce_diff"] == got[1]["ce_diff"] == 0 and len(got) == len(TEXTS) + 1
     assert lm_score.score(none, target).count() == 0 and lm_score.score(docs, target.limit(0)).count() == docs.count()
 
