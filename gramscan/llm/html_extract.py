@@ -39,11 +39,16 @@ from .textops import SPACE, Words, mix, raw, shingles, signed, words_of
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
-SKIPPED = {"head", "nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "math", "object", "embed", "canvas", "video", "audio", "button", "select", "option", "textarea", "input", "title", "menu", "dialog", "fieldset", "label"}
+SKIPPED = {"head", "nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "math", "object", "embed", "canvas", "video", "audio", "button", "select", "option", "textarea", "input", "title", "menu", "dialog", "fieldset"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|nav|navbar|navigation|menu|breadcrumbs?|header|footer|masthead|sidebar|comments?|disqus|replies|share|sharing|social|newsletter|subscribe|signup|login|popup|modal|overlay|widget|related|recommend\w*|pagination|pager|toolbar)(?:$|[\s_-])", re.I)
+#: An element that marks an article, or a heading, is dropped for fewer names: it may well have a "header" or "related" class.
+_NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|comments?|disqus|replies|reply|teasers?|newsletter|subscribe|sidebar|popup|modal)(?:$|[\s_-])", re.I)
+_FEW = {"article", "main", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: A tag with a quote that is never closed ends at its first ">".
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _EACH = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 
@@ -55,7 +60,7 @@ def _skipped(name: str, attributes: str) -> bool:
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key == "role" and value.lower() in _ROLES or key in ("class", "id") and name not in ("html", "body", "article", "main") and _NAMED.search(value):
+        if key == "role" and value.lower() in _ROLES or key in ("class", "id") and name not in ("html", "body") and (_NOT_ARTICLE if name in _FEW else _NAMED).search(value):
             return True
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
@@ -100,7 +105,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
     at, size = 0, len(page)
     while at < size:
         lt = page.find("<", at)
-        found = _TAG.match(page, lt) if lt >= 0 else None
+        found = (_TAG.match(page, lt) or _BROKEN.match(page, lt)) if lt >= 0 else None
         if lt < 0:
             if not skip:
                 piece.append(page[at:])

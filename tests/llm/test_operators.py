@@ -396,6 +396,40 @@ def test_html_marks(spark):
     assert {got[10 + i]["text"] for i in range(4)} == {same[3:-4]}
 
 
+def test_html_of_awkward_markup(spark):
+    pages = {
+        "<main><article class='comment'><p>said a reader</p></article><article class=post><p>the text</p></article></main>": "the text",
+        "<article><h1 class='entry-header'>Title</h1><p>text <label>with a label</label></p></article>": "Title\n\ntext with a label",
+        '<article><p>one <a href="x>two</a> three</p></article>': "one two three",
+        "<div role=main><p>in</p></div><div>out</div>": "in",
+        "<article><h2 class='comments'>Comments</h2><p>t</p></article>": "t",
+        "a < b and c > d": "a < b and c > d",
+    }
+    rows = [(k, f"http://h{k}/", h) for k, h in enumerate(pages)] + [(2, "http://h2/", "<article>again</article>"), (None, None, "<article>no id</article>")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, text string, n_chars long")
+    got = html_extract.extract(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((str(r["page_id"]), r["text"]) for r in got.collect()) == sorted([*((str(k), x) for k, x in enumerate(pages.values())), ("2", "again"), ("None", "no id")])
+    begin = time.monotonic()
+    for page in ("<a " * 300_000 + '"', '<a "' * 200_000, "<" * 500_000, "<p>" * 200_000, "&" * 500_000):
+        html_extract.blocks(page)
+    assert time.monotonic() - begin < 60
+
+
+def test_repeated_strings_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for n in range(60):
+        words = rng.integers(0, 4 if n % 2 else 30, 120).astype(np.uint64)
+        page = np.sort(rng.integers(0, 6, 120))
+        cut = np.flatnonzero(np.diff(page, prepend=page[0]))
+        tokens, pages = np.insert(words, cut, np.arange(1000, 1000 + len(cut), dtype=np.uint64)), np.insert(page, cut, page[cut])
+        want = np.zeros(len(tokens), bool)
+        for i in range(len(tokens) - 2):
+            if any(pages[i] != pages[j] and (tokens[i : i + 3] == tokens[j : j + 3]).all() for j in range(len(tokens) - 2)):
+                want[i : i + 3] = True
+        assert (html_extract.repeated(tokens, pages, 3) == want).all()
+
+
 def test_suffix_array():
     x = np.array([3, 1, 2, 1, 2, 3, 1, 2], np.uint64)
     assert html_extract.suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
