@@ -1,9 +1,10 @@
 """Licence scans: base phrases, and templates compiled into token automata.
 
 A template is wording with marks: ``[words]`` may be missing, ``<n>`` stands for up to n
-words of any kind.  It is compiled into an automaton over word hashes that accepts a stretch
-of text only if all mandatory words occur, exactly and in order.  Every place where a
-template's first word stands is tried, in rows that hold one of its rarer words.
+words of any kind (a name, a year), also within an optional region.  It is compiled into an automaton over word
+hashes that accepts a stretch of text only if all mandatory words occur, exactly and in order, with nothing else
+between them; its states are the bits of one number.  Whole licence texts and the notices that licences prescribe
+are templates (``licenses``).  Every place where a template can begin is tried, in rows that hold its longest mandatory word.
 
 Base labels come from phrases whose words stand consecutively; each place counts.  Base
 phrases and templates are few and fixed, so there is no shuffle; texts are read whole.
@@ -20,68 +21,67 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .licenses import TEMPLATES
 from .shared import fresh
 from .textops import NOT_ALNUM, Words, hash_of, word_runs
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-TEMPLATES = {
-    "apache-2.0": "licensed under [the terms of] [the] apache license [version] 2 0",
-    "mit": "released under the [terms of the] mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <6> software <3> to deal in the software without restriction",
-    "gpl-3.0": "licensed under the [terms of the] [gnu] general public license [version 3] [v3]",
-    "gpl-text": "this program is free software you can redistribute it and or modify it under the terms of the gnu [lesser] [affero] general public license as published by the free software foundation",
-    "cc-by-nc-4.0": "licensed under [a] [the] [creative commons] cc by nc [4 0] [international]",
-    "cc-by-4.0": "licensed under [a] [the] [creative commons] cc by 4 0 [international]",
-    "cc-by-sa-4.0": "licensed under [a] [the] [creative commons] cc by sa [4 0] [international]",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "copyright-reserved": "copyright [c] <8> all rights reserved",
-}
+_PART = re.compile(r"\[|\]|<\d+>|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 class Automaton:
-    """States count positions in a template; ``skip[i]`` are states reached from i without a word."""
+    """Bit i of a state number says that the first i items of the template are done."""
 
     def __init__(self, template: str):
-        items: list[tuple[str, int]] = []  # (word or "", how many states an omission jumps)
-        self.steps: list[dict[int, set[int]]] = []
-        self.any: list[set[int]] = []
-        free: list[tuple[int, int]] = []
-        for optional, wild, word in re.findall(r"\[([^\]]*)\]|<(\d+)>|(\S+)", template):
-            begin = len(items)
-            items += [("", 1)] * int(wild) if wild else [(w, 0) for w in (optional or word).split()]
-            if optional:
-                free.append((begin, len(items)))
-            elif wild:
-                free += [(k, len(items)) for k in range(begin, len(items))]
-        self.words = [w for w, _ in items]
-        self.hashes = [int(hash_of([w])[0]) if w else None for w in self.words]
-        self.last = len(items)
-        jump: dict[int, set[int]] = {}
-        for a, b in free:
-            jump.setdefault(a, set()).add(b)
-        self.closure = []
-        for s in range(self.last + 1):
-            out, todo = {s}, [s]
-            while todo:
-                for t in jump.get(todo.pop(), ()):
-                    if t not in out:
-                        out.add(t)
-                        todo.append(t)
-            self.closure.append(out)
-        optional_at = {k for a, b in free for k in range(a, b)}
-        self.mandatory = [w for k, w in enumerate(self.words) if w and k not in optional_at]
-        self.first = {self.hashes[s] for s in self.closure[0] if s < self.last and self.hashes[s] is not None}
+        self.words: list[str] = []  # "" for any word
+        jumps: list[tuple[int, int]] = []  # items from one place to another may be left out
+        open_at: list[int] = []
+        optional: set[int] = set()
+        for part in _PART.findall(re.sub("[A-Z]", lambda m: m[0].lower(), template)):
+            at = len(self.words)
+            if part == "[":
+                open_at.append(at)
+            elif part == "]":
+                begin = open_at.pop()
+                jumps.append((begin, at))
+                optional |= set(range(begin, at))
+            elif part[0] == "<":
+                n = int(part.strip("<>"))
+                self.words += [""] * n
+                jumps += [(k, at + n) for k in range(at, at + n)]
+            else:
+                self.words.append(part)
+        self.last = len(self.words)
+        self.jumps = sorted(jumps)
+        self.leaving = sum({1 << a for a, _ in jumps})
+        self.any = sum(1 << k for k, w in enumerate(self.words) if not w)
+        self.after: dict[int, int] = {}
+        named = [k for k, w in enumerate(self.words) if w]
+        for k, h in zip(named, hash_of([self.words[k] for k in named]).tolist(), strict=True):
+            self.after[h] = self.after.get(h, 0) | 1 << k
+        self.mandatory = [self.words[k] for k in named if k not in optional]
+        self.start = self.closed(1)
+        self.first = {h for h, bits in self.after.items() if bits & self.start}
+        self.begins_anyhow = bool(self.start & self.any)
+
+    def closed(self, states: int) -> int:
+        """With what can be reached without a word; jumps only lead ahead."""
+        if states & self.leaving:
+            for a, b in self.jumps:
+                if states >> a & 1:
+                    states |= 1 << b
+        return states
 
     def accepts(self, hashes: list[int], at: int) -> int | None:
         """End of the longest accepted stretch that begins at ``at``."""
-        states, best = set(self.closure[0]), None
+        states, best = self.start, None
         for i in range(at, len(hashes) + 1):
-            if self.last in states:
+            if states >> self.last & 1:
                 best = i
             if i == len(hashes) or not states:
                 break
-            states = {t for s in states if s < self.last and (self.hashes[s] is None or self.hashes[s] == hashes[i]) for t in self.closure[s + 1]}
+            states = self.closed((states & (self.any | self.after.get(hashes[i], 0))) << 1)
         return best
 
 
@@ -89,8 +89,7 @@ class Scanner:
     def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
         self.phrases = [(hash_of(p.split()), label) for p, label in phrases.items()]
         self.automata = [(label, Automaton(t)) for label, t in templates.items()]
-        common = {"the", "of", "a", "to", "under", "this", "is", "it", "and", "in", "version", "2", "0", "4", "3", "use", "by", "all", "with", "or"}
-        self.keys = [np.sort(hash_of(sorted({w for w in a.mandatory if w not in common})[:1])) for _, a in self.automata]
+        self.keys = [hash_of([max(a.mandatory, key=len)])[0] for _, a in self.automata]
 
     def scan(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]], list[set[str]]]:
         places, lowest, highest = np.zeros(w.rows, np.int64), np.full(w.rows, -1), np.full(w.rows, -1)
@@ -113,12 +112,13 @@ class Scanner:
                 lowest[r] = x if lowest[r] < 0 else min(lowest[r], x)
                 highest[r] = max(highest[r], x)
         for (label, automaton), key in zip(self.automata, self.keys, strict=True):
-            has = np.unique(w.row[np.isin(w.hash, key)])
+            has = np.unique(w.row[w.hash == key])
+            first = np.array(list(automaton.first), np.uint64)
             for r in has.tolist():
                 hashes = w.hash[w.first[r] : w.first[r + 1]]
-                start = np.flatnonzero(np.isin(hashes, np.array(list(automaton.first), np.uint64)))
                 words = hashes.tolist()
-                if any(automaton.accepts(words, x) is not None for x in start.tolist()):
+                start = range(len(words)) if automaton.begins_anyhow else np.flatnonzero(np.isin(hashes, first)).tolist()
+                if any(automaton.accepts(words, x) is not None for x in start):
                     more[r].add(label)
         return places, lowest, highest, base, more
 

@@ -191,6 +191,50 @@ def test_automaton():
     assert run("copyright x y z w all rights") is None and run("copyright all right") is None
 
 
+def regular(template):
+    """The template as a regular expression over words, each with a space after it."""
+    out, at = "", 0
+    for part in re.findall(r"\[|\]|<\d+>|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), template)):
+        out += "(?:" if part == "[" else ")?" if part == "]" else rf"(?:\S+ ){{0,{part[1:-1]}}}" if part[0] == "<" else part + " "
+    return re.compile(r"(?<!\S)" + out)
+
+
+def test_license_templates_equal_regular_expressions(spark):
+    rng = random.Random(8)
+    rows = []
+
+    def text_of(template, spoil):
+        out, skip = [], 0
+        for part in re.findall(r"\[|\]|<\d+>|[^\s\[\]<>]+", template):
+            if part == "[":
+                skip = rng.random() < 0.5
+            elif part == "]":
+                skip = 0
+            elif not skip:
+                out += [f"Name{k}" for k in range(rng.randint(0, int(part[1:-1])))] if part[0] == "<" else [part]
+        if spoil:
+            k = rng.randrange(len(out))
+            out[k : k + 1] = [] if spoil == 1 else [out[k], "other"]
+        return " ".join(["Some words before, this is"] + out + ["and after"])
+
+    for template in license_scan.TEMPLATES.values():
+        rows += [text_of(template, spoil) for spoil in (0, 0, 0, 1, 1, 2, 2)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = table(license_scan.scan(df))
+    forms = {label: regular(t) for label, t in license_scan.TEMPLATES.items()}
+    accepted = collections.Counter()
+    for k, text in enumerate(rows):
+        w = words(text, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        line = "".join(x + " " for x in w)
+        base = {label for p, label in license_scan.PHRASES.items() if f" {p} " in " " + line}
+        own = {label for label, form in forms.items() if form.search(line)}
+        accepted.update(own)
+        assert got[k]["labels"] == ",".join(sorted(base | own)), text
+    assert set(accepted) == set(forms)
+    two, three = (next(k for k, x in enumerate(license_scan.TEMPLATES) if x == name) * 7 for name in ("bsd-2-clause-text", "bsd-3-clause-text"))
+    assert "bsd-2" in got[two]["labels"] and "bsd-2" not in got[three]["labels"] and "bsd-3" in got[three]["labels"]
+
+
 def test_decontamination(spark, docs, none):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, "")], "item_id long, text string")
