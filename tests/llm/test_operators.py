@@ -402,6 +402,24 @@ def test_warc_records_across_chunks(spark):
         assert {(r["page_id"], r["n"], r["sound"]) for r in got} == {(i, len(p), True) for i, p in payload.items()} and len(got) == len(payload)
 
 
+def test_warc_records_are_valid_and_chains_verified(spark):
+    rows = [(5, "u", "same"), (3, "u", "same"), (3, "u", "same"), (None, None, "same"), (None, "u", ""), (9, "u", None), (9, "v", "other")]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, payload string, row long").coalesce(1)
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], str(r["refers_to"])) for r in warc.round_trip(pages).collect())
+    assert got == sorted([("5", 4, "revisit", "3"), ("3", 4, "response", "None"), ("3", 4, "response", "None"), ("None", 4, "revisit", "3"), ("None", 0, "revisit", "9"), ("9", 0, "response", "None"), ("9", 5, "response", "None")])
+    heads = [warc.record(i, "u", b"x", r, n, 0).split(b"\r\n\r\n")[0].decode().split("\r\n") for n, (i, r) in enumerate([(1, None), (1, None), (2, 1)])]
+    fields = [dict(line.split(": ", 1) for line in h[1:]) for h in heads]
+    assert all({"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= f.keys() and f["WARC-Record-ID"].startswith("<urn:uuid:") for f in fields)
+    assert len({f["WARC-Record-ID"] for f in fields}) == 3 and fields[2]["WARC-Refers-To"] == fields[0]["WARC-Record-ID"]
+    whole = b"".join(warc.record(i, "u", b"payload" * i, None) for i in range(9))
+    schema = "archive string, offset long, own long, data binary"
+    pieces = lambda data: [("a", k, min(100, len(data) - k), data[k:]) for k in range(0, len(data), 100)]
+    assert warc.read(spark.createDataFrame(pieces(whole), schema)).count() == 9
+    for broken in (pieces(whole)[:3] + pieces(whole)[4:], pieces(whole[:-50]), pieces(whole.replace(b"payloadpayload", b"payloadpayloap"))):
+        with pytest.raises(Exception, match="archive a: "):
+            warc.read(spark.createDataFrame(broken, schema)).count()
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav>{}<footer>foot</footer></body></html>"
     same = "This very long boilerplate sentence is on all of the pages here."
