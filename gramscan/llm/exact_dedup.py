@@ -125,7 +125,8 @@ def groups(docs: DataFrame) -> DataFrame:
     rows = fresh(docs, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(spark, "exact")
-    hashed = scratch.write(_hashed(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))), "list")
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())  # so an owner has what a partition sends
+    hashed = scratch.write(_hashed(rows, owners), "list")
     lists = hashed.where("list = 1").select("part", "owner", "n", "k", "unary", "rest")
     maps = lists.groupBy("owner").applyInArrow(_answers, "part int, owner int, n int, bits binary")
     each = hashed.where("list = 0").select("doc_id", "part", "sha", "fingerprint")

@@ -74,7 +74,6 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _signed_documents(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
-    kind = rows.schema["doc_id"].dataType.simpleString()
     odd = permutations(bands, per_band)
 
     def run(batches):
@@ -93,9 +92,9 @@ def _signed_documents(rows: DataFrame, size: int, bands: int, per_band: int) ->
                     keys.append(None)
             for lo in range(0, len(n), 2000):
                 part = slice(lo, lo + 2000)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, 2000), pa.array(n[part], pa.int64()), pa.array(high[part], pa.int64()), pa.array(low[part], pa.int64()), pa.array(keys[part], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "s1", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, 2000) for c in ("doc_id", "mark")), pa.array(n[part], pa.int64()), pa.array(high[part], pa.int64()), pa.array(low[part], pa.int64()), pa.array(keys[part], pa.list_(pa.int64()))], names=["doc_id", "mark", "n_shingles", "s1", "s2", "keys"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, mark long, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -213,19 +212,21 @@ def settle(vertices: DataFrame, sets: DataFrame, tried: DataFrame, percent: int,
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = 44, per_band: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; doc_id must be an integer."""
     spark = docs.sparkSession
-    rows = fresh(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = fresh(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "mark": F.xxhash64("text")})
     scratch = Scratch(spark, "near")
     signed_docs = scratch.write(_signed_documents(rows, size, bands, per_band))
     key = ["s1", "s2", "n_shingles"]
-    same = signed_docs.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    same = signed_docs.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("least"), F.min(F.struct("mark", "doc_id")).alias("pick"), F.first("keys").alias("keys"))
     same = scratch.write(same.withColumn("v", F.monotonically_increasing_id()))
     members = same.select(F.col("v"), F.explode("keys").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.min("v").alias("pivot"), F.max("v").alias("other")).where("pivot < other").select("bucket", "pivot")
     buckets = scratch.write(members.join(crowded, "bucket").select("bucket", "v", "pivot"))
     wanted = buckets.select("v").distinct()
     n_wanted = wanted.count()
-    chosen = same.select(*key, "least", "v").join(small(wanted, n_wanted, 16), "v")
-    texts = rows.join(small(chosen.select("least").distinct(), n_wanted, 16), F.col("doc_id") == F.col("least")).select("text")
+    chosen = same.select(*key, "pick", "v").join(small(wanted, n_wanted, 16), "v")
+    pick = chosen.select(F.col("pick.mark").alias("m"), F.col("pick.doc_id").alias("i")).distinct()
+    one = (F.col("mark") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("i"))  # a row of each set; others that share its id and hash cost time only
+    texts = rows.join(small(pick, n_wanted, 24), one).select("text")
     sets = scratch.write(_sets(texts, size).dropDuplicates(key).join(small(chosen.select(*key, "v"), n_wanted, 48), key).select("v", "s"))
 
     tried = scratch.write(buckets.where("v <> pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b")).distinct())
@@ -238,6 +239,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     found = same.select(*key, "least", "v").join(labels, F.col("v") == F.col("node"), "left").select(*key, "least", "label")
     first = scratch.write(found.where("label is not null").groupBy("label").agg(F.min("least").alias("first")))
     placed = found.join(small(first, first.count(), 24), "label", "left").select(*key, F.coalesce("first", "least").alias("component"))
-    joined = signed_docs.drop("keys").join(placed, key, "left")
+    placed = scratch.write(placed)
+    joined = signed_docs.select("doc_id", *key).join(small(placed, placed.count(), 40), key, "left")
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -125,6 +125,13 @@ def test_minhash_of_repeated_ids(spark):
     assert len(got) == len(rows) and {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(i, i // 10 * 10, i % 10 == 0) for i, _ in rows}
 
 
+def test_minhash_of_null_ids(spark):
+    text = " ".join(f"n{k}" for k in range(60))
+    rows = [(None, text + " x"), (None, text + " x"), (7, text + " y"), (9, text), (None, "quite another text of no one at all"), (None, "quite another text of no one at all"), (None, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == sorted([("None", "7", False)] * 2 + [("7", "7", True), ("9", "7", False)] + [("None", "None", True)] * 3)
+
+
 def test_bpe_equals_the_library(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
