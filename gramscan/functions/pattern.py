@@ -412,7 +412,9 @@ class Writer:
         if n.kind == "rep":
             lo, hi, greedy = n.value
             q = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((lo, hi), f"{{{lo}}}" if lo == hi else f"{{{lo},{'' if hi is None else hi}}}")
-            return f"(?:{self.write(n.kids[0])}){q}{'' if greedy else '?'}"
+            kid = self.write(n.kids[0])
+            single = n.kids[0].kind in ("lit", "class", "dot") and not kid.startswith("(?")  # needs no group, for which Java takes stack
+            return f"{kid if single else f'(?:{kid})'}{q}{'' if greedy else '?'}"
         if n.kind == "alt":
             return "(?:" + "|".join(self.write(k) for k in n.kids) + ")"
         return "".join(self.write(k) for k in n.kids)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import template
 from ..options import BinaryMode, Query
 from ..sources.corpus import Corpus, decode
+from .search import prefiltered
 
 SCHEMA = "file_id long, path string, seq long, kind string, line_number long, byte_offset long, line string, spans array<struct<start:int,end:int,text:string,replacement:string>>"
 _TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("replacement", pa.string())]))
@@ -142,7 +143,8 @@ def scan(corpus: Corpus, q: Query) -> DataFrame:
             types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), _TYPE]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split(" ")[0] for f in SCHEMA.split(", ")])
 
-    df = corpus.df.select("file_id", "path", F.col("content").cast("binary").alias("content"), F.coalesce("explicit", F.lit(False)).alias("explicit"))
+    source = corpus.df if q.passthru or q.null_data or not corpus.text else prefiltered(corpus, q)  # a file without hits has no rows
+    df = source.select("file_id", "path", F.col("content").cast("binary").alias("content"), F.coalesce("explicit", F.lit(False)).alias("explicit"))
     return df.mapInArrow(run, SCHEMA)
 
 

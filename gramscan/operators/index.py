@@ -1,7 +1,9 @@
 """N-gram inverted index: grams of each file, snapshots in Parquet, candidate lookup.
 
 A snapshot is ``snapshots/<id>/{files,postings}``; ``CURRENT`` names the live one and is
-replaced atomically after the tables are complete.  Every path goes through Hadoop's file
+replaced by one atomic rename after the tables are complete and their rows were counted.  A writer
+holds ``LOCK``, which names its time; one older than ``STALE`` seconds is taken over.  A
+reader that holds a snapshot's name keeps it through one later update.  Every path goes through Hadoop's file
 systems, so a store that only Spark reaches will do.  Postings are range-partitioned and
 sorted by gram: a lookup reads the row groups whose range fits.
 """
@@ -18,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.literals import fold
-from ..sources.corpus import Corpus
+from ..sources.corpus import Corpus, decode
 
 VERSION = 1
 MOST_GRAMS = 24
+#: Seconds after which a writer's lock counts as left behind.
+STALE = 6 * 3600
 
 
 class IndexError_(ValueError):
@@ -77,29 +81,55 @@ def file_grams(data: bytes, width: int) -> np.ndarray:
     return np.unique(g)
 
 
-def postings(corpus: Corpus, record: IndexRecord) -> DataFrame:
-    """gram, file_id: each once."""
-    text = F.col("content")
-    if record.norm == "ascii-lower":
-        text = F.translate(text.cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZKſ", "abcdefghijklmnopqrstuvwxyzks")
-    df = corpus.df.select("file_id", F.coalesce(text.cast("binary"), F.lit(b"")).alias("content"))
-    width = record.width
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def folded(data: bytes) -> bytes:
+    """``literals.fold`` of UTF-8 bytes."""
+    return data.translate(_FOLD).replace("\u212a".encode(), b"k").replace("\u017f".encode(), b"s")
+
+
+def all_postings(corpus: Corpus, records: list[IndexRecord]) -> DataFrame:
+    """kind, gram, file_id: each once.  One pass decodes each file as a search does and takes the grams of all kinds."""
+    df = corpus.df.select("file_id", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
+    names, text = ["kind", "gram", "file_id"], corpus.text
 
     def run(batches):
+        def flush():
+            sizes = [len(g) for _, _, g in held]
+            kinds, ids = (np.repeat([h[k] for h in held], sizes) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(np.concatenate([g for *_, g in held])), pa.array(ids.astype(np.int64))], names=names)
+
+        held, n = [], 0
         for batch in batches:
-            ids, all_grams, n = [], [], 0
             for i, data in zip(batch.column("file_id").to_pylist(), batch.column("content"), strict=True):
-                g = file_grams(data.as_buffer(), width)
-                ids.append(np.full(len(g), i, np.int64))
-                all_grams.append(g)
-                n += len(g)
+                data = data.as_buffer().to_pybytes()
+                data = data if text else decode(data)
+                forms = {"identity": data}
+                for k, record in enumerate(records):
+                    if record.norm not in forms:
+                        forms[record.norm] = folded(data)
+                    g = file_grams(forms[record.norm], record.width)
+                    held.append((k, i, g))
+                    n += len(g)
                 if n > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(all_grams)), pa.array(np.concatenate(ids))], names=["gram", "file_id"])
-                    ids, all_grams, n = [], [], 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(all_grams)), pa.array(np.concatenate(ids))], names=["gram", "file_id"])
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
 
-    return df.mapInArrow(run, "gram long, file_id long")
+    return df.mapInArrow(run, "kind int, gram long, file_id long")
+
+
+def postings(corpus: Corpus, record: IndexRecord) -> DataFrame:
+    """gram, file_id: each once."""
+    return all_postings(corpus, [record]).select("gram", "file_id")
+
+
+def files_of(corpus: Corpus) -> DataFrame:
+    """file_id, path, size and mark (of the content) of every file."""
+    content = F.coalesce(F.col("content").cast("binary"), F.lit(b""))
+    return corpus.df.select("file_id", "path", F.octet_length(content).cast("long").alias("size"), F.xxhash64(content).alias("mark"))
 
 
 def _grams_of(literal: str, record: IndexRecord) -> list[int]:
@@ -207,34 +237,60 @@ class Store:
             raise IndexError_("there is no index to update")
         return self._publish(corpus, self.meta, partitions)
 
+    def _lock(self) -> None:
+        path = self._path(f"{self.folder}/LOCK")
+        if not self.fs.createNewFile(path):
+            if time.time() - self.fs.getFileStatus(path).getModificationTime() / 1000 < STALE:
+                raise IndexError_("another writer holds the index")
+            self.fs.delete(path, False)
+            if not self.fs.createNewFile(path):
+                raise IndexError_("another writer holds the index")
+
+    def _replace(self, name: str, text: str) -> None:
+        """One rename over the old file: a reader finds the old text or the new one."""
+        self._write(f"{self.folder}/{name}.tmp", text)
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        rename = hadoop.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context = hadoop.FileContext.getFileContext(self._path(self.folder).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(self._path(f"{self.folder}/{name}.tmp"), self._path(f"{self.folder}/{name}"), how)
+
     def _publish(self, corpus: Corpus, meta: Meta, partitions: int | None) -> str:
-        lock = self._path(f"{self.folder}/LOCK")
-        if not self.fs.createNewFile(lock):
-            raise IndexError_("another writer holds the index")
+        self.fs.mkdirs(self._path(self.folder))
+        self._lock()
         try:
             stamp = time.time_ns()
             name = f"{stamp // 10**9:x}-{stamp % 10**9:x}"
             tmp = f"{self.folder}/snapshots/tmp-{name}"
             n = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            corpus.df.select("file_id", "path", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("size")).write.parquet(f"{tmp}/files")
-            for record in map(IndexRecord.parse, meta.kinds):
-                df = postings(corpus, record)
-                df.repartitionByRange(n, "gram", "file_id").sortWithinPartitions("gram", "file_id").write.parquet(f"{tmp}/postings/kind={record.name}")
+            records = [IndexRecord.parse(k) for k in meta.kinds]
+            files_of(corpus).write.parquet(f"{tmp}/files")
+            # written once, since range partitioning reads its input twice
+            all_postings(corpus, records).write.parquet(f"{tmp}/flat")
+            flat = self.spark.read.parquet(f"{tmp}/flat")
+            kind = F.element_at(F.array(*[F.lit(r.name) for r in records]), F.col("kind") + 1)
+            dealt = flat.repartitionByRange(n, "kind", "gram", "file_id").sortWithinPartitions("kind", "gram", "file_id")
+            dealt.withColumn("kind", kind).write.partitionBy("kind").parquet(f"{tmp}/postings")
+            wanted = flat.count()
+            there = self.spark.read.schema("gram long, file_id long, kind string").parquet(f"{tmp}/postings").count()
+            if there != wanted:
+                raise IndexError_(f"{there} of {wanted} postings were written")
+            self.fs.delete(self._path(f"{tmp}/flat"), True)
             self.fs.rename(self._path(tmp), self._path(f"{self.folder}/snapshots/{name}"))
-            self._write(f"{self.folder}/meta.json", json.dumps(asdict(meta)))
             old = self.current
-            self._write(f"{self.folder}/CURRENT.tmp", name)
-            self.fs.delete(self._path(f"{self.folder}/CURRENT"), False)
-            self.fs.rename(self._path(f"{self.folder}/CURRENT.tmp"), self._path(f"{self.folder}/CURRENT"))
+            self._replace("meta.json", json.dumps(asdict(meta)))
+            self._replace("CURRENT", name)
             for status in self.fs.listStatus(self._path(f"{self.folder}/snapshots")):
                 if status.getPath().getName() not in (name, old):
                     self.fs.delete(status.getPath(), True)
             return name
         finally:
-            self.fs.delete(lock, False)
+            self.fs.delete(self._path(f"{self.folder}/LOCK"), False)
 
     def files(self, snapshot: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/snapshots/{snapshot or self.current}/files")
 
     def postings(self, record: IndexRecord, snapshot: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/snapshots/{snapshot or self.current}/postings/kind={record.name}")
+        path = f"{self.folder}/snapshots/{snapshot or self.current}/postings/kind={record.name}"
+        return self.spark.read.schema("gram long, file_id long").parquet(path) if self.fs.exists(self._path(path)) else self.spark.createDataFrame([], "gram long, file_id long")  # no file had grams

@@ -52,6 +52,7 @@ class Plan:
     corpus: Corpus
     q: Query
     discovery: Discovery = Discovery.WALK
+    admission: str = "full"  # or "indexed": hidden and ignore rules were applied when the index was built
     kind: str | None = None
     literals: object = None
     candidates: DataFrame | None = None
@@ -64,16 +65,16 @@ class Plan:
         return Corpus(self.corpus.df.join(self.candidates, "file_id", "left_semi"), self.corpus.text)
 
     def explain(self) -> dict:
-        return {"discovery": self.discovery.value, "kind": self.kind, "literals": self.literals, "tier": "native" if S.is_native(self.corpus, self.q) else "exact", "narrowed": self.candidates is not None, "notes": self.notes}
+        return {"discovery": self.discovery.value, "admission": self.admission, "kind": self.kind, "literals": self.literals, "tier": "native" if S.is_native(self.corpus, self.q) else "exact", "narrowed": self.candidates is not None, "notes": self.notes}
 
 
 def plan(corpus: Corpus, q: Query, store: I.Store | None = None, mode: str = "lines", include_zero: bool = False, walk: dict | None = None, scopes: list[str] | None = None, fresh: bool = True, transformed: bool = False) -> Plan:
     need = coverage_of(mode, include_zero)
-    literals, folded = S.requirement(q)
+    literals, folded = S.requirement(q, corpus.text)
     narrowing = literals is not None and not transformed
     meta = store.meta if store and store.current else None
-    how, _ = discover("index", need, bool(store and store.current), narrowing, meta, bool(meta and meta.covers(walk or {}, scopes or [])), fresh)
-    out = Plan(corpus, q, how, literals=literals)
+    how, admission = discover("index", need, bool(store and store.current), narrowing, meta, bool(meta and meta.covers(walk or {}, scopes or [])), fresh)
+    out = Plan(corpus, q, how, literals=literals, admission=admission)
     if how in (Discovery.INDEX, Discovery.MERGE) and need is Coverage.POTENTIAL:
         norm = "ascii-lower" if folded else "identity"
         sets = []
@@ -87,15 +88,17 @@ def plan(corpus: Corpus, q: Query, store: I.Store | None = None, mode: str = "li
             for _, other in sets[1:]:
                 ids = ids.join(other, "file_id", "left_semi")
             if how is Discovery.MERGE or not fresh:
-                known = store.files().select("file_id")
-                ids = ids.unionByName(corpus.df.select("file_id").join(known, "file_id", "left_anti"))
+                # unknown files, and if the snapshot may be stale those whose content changed since
+                key = ["file_id"] if fresh else ["file_id", "mark"]
+                now = I.files_of(corpus) if not fresh else corpus.df
+                ids = ids.unionByName(now.select(*key).join(store.files().select(*key), key, "left_anti").select("file_id")).distinct()
             out.candidates, out.kind = ids, ",".join(n for n, _ in sets)
     return out
 
 
 def narrow_in_place(corpus: Corpus, q: Query, record: I.IndexRecord | None = None) -> DataFrame | None:
     """Candidates by an index that is computed on the fly (no store)."""
-    literals, folded = S.requirement(q)
+    literals, folded = S.requirement(q, corpus.text)
     if literals is None:
         return None
     record = record or I.IndexRecord(norm="ascii-lower" if folded else "identity")
