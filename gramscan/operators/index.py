@@ -89,16 +89,29 @@ def folded(data: bytes) -> bytes:
     return data.translate(_FOLD).replace("\u212a".encode(), b"k").replace("\u017f".encode(), b"s")
 
 
-def all_postings(corpus: Corpus, records: list[IndexRecord]) -> DataFrame:
-    """kind, gram, file_id: each once.  One pass decodes each file as a search does and takes the grams of all kinds."""
+#: Postings that a task gathers before it emits their lists.
+GATHERED = 2_000_000
+
+
+def posting_lists(corpus: Corpus, records: list[IndexRecord]) -> DataFrame:
+    """kind, gram, ids: each posting in one list; a frequent gram has many lists, of a task's run of files each.
+
+    One pass decodes each file as a search does and takes the grams of all kinds."""
     df = corpus.df.select("file_id", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
-    names, text = ["kind", "gram", "file_id"], corpus.text
+    names, text = ["kind", "gram", "ids"], corpus.text
 
     def run(batches):
         def flush():
             sizes = [len(g) for _, _, g in held]
-            kinds, ids = (np.repeat([h[k] for h in held], sizes) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(np.concatenate([g for *_, g in held])), pa.array(ids.astype(np.int64))], names=names)
+            kind, ids = (np.repeat(np.array([h[k] for h in held], np.int64), sizes) for k in (0, 1))
+            gram = np.concatenate([g for *_, g in held])
+            order = np.lexsort((ids, gram, kind))
+            kind, gram, ids = kind[order], gram[order], ids[order]
+            new = np.flatnonzero((np.diff(kind, prepend=-1) != 0) | (np.diff(gram, prepend=-1) != 0))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(ids)), pa.int32()), pa.array(ids))
+            for lo in range(0, len(new), 20_000):
+                part = slice(lo, lo + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(kind[new[part]].astype(np.int32)), pa.array(gram[new[part]]), lists[part]], names=names)
 
         held, n = [], 0
         for batch in batches:
@@ -112,18 +125,18 @@ def all_postings(corpus: Corpus, records: list[IndexRecord]) -> DataFrame:
                     g = file_grams(forms[record.norm], record.width)
                     held.append((k, i, g))
                     n += len(g)
-                if n > 1_000_000:
-                    yield flush()
+                if n > GATHERED:
+                    yield from flush()
                     held, n = [], 0
-        if held:
-            yield flush()
+        if n:
+            yield from flush()
 
-    return df.mapInArrow(run, "kind int, gram long, file_id long")
+    return df.mapInArrow(run, "kind int, gram long, ids array<long>")
 
 
 def postings(corpus: Corpus, record: IndexRecord) -> DataFrame:
     """gram, file_id: each once."""
-    return all_postings(corpus, [record]).select("gram", "file_id")
+    return posting_lists(corpus, [record]).select("gram", F.explode("ids").alias("file_id"))
 
 
 def files_of(corpus: Corpus) -> DataFrame:
@@ -267,13 +280,14 @@ class Store:
             records = [IndexRecord.parse(k) for k in meta.kinds]
             files_of(corpus).write.parquet(f"{tmp}/files")
             # written once, since range partitioning reads its input twice
-            all_postings(corpus, records).write.parquet(f"{tmp}/flat")
+            posting_lists(corpus, records).write.parquet(f"{tmp}/flat")
             flat = self.spark.read.parquet(f"{tmp}/flat")
             kind = F.element_at(F.array(*[F.lit(r.name) for r in records]), F.col("kind") + 1)
-            dealt = flat.repartitionByRange(n, "kind", "gram", "file_id").sortWithinPartitions("kind", "gram", "file_id")
+            first = F.col("ids")[0]  # so a frequent gram's lists spread over partitions
+            dealt = flat.repartitionByRange(n, F.col("kind"), F.col("gram"), first).sortWithinPartitions(F.col("kind"), F.col("gram"), first)
             dealt.withColumn("kind", kind).write.partitionBy("kind").parquet(f"{tmp}/postings")
-            wanted = flat.count()
-            there = self.spark.read.schema("gram long, file_id long, kind string").parquet(f"{tmp}/postings").count()
+            size = F.coalesce(F.sum(F.size("ids")), F.lit(0))
+            wanted, there = (df.agg(size).first()[0] for df in (flat, self.spark.read.schema("gram long, ids array<long>, kind string").parquet(f"{tmp}/postings")))
             if there != wanted:
                 raise IndexError_(f"{there} of {wanted} postings were written")
             self.fs.delete(self._path(f"{tmp}/flat"), True)
@@ -293,4 +307,6 @@ class Store:
 
     def postings(self, record: IndexRecord, snapshot: str | None = None) -> DataFrame:
         path = f"{self.folder}/snapshots/{snapshot or self.current}/postings/kind={record.name}"
-        return self.spark.read.schema("gram long, file_id long").parquet(path) if self.fs.exists(self._path(path)) else self.spark.createDataFrame([], "gram long, file_id long")  # no file had grams
+        if not self.fs.exists(self._path(path)):  # no file had grams
+            return self.spark.createDataFrame([], "gram long, file_id long")
+        return self.spark.read.schema("gram long, ids array<long>").parquet(path).select("gram", F.explode("ids").alias("file_id"))

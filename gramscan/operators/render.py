@@ -43,7 +43,7 @@ def text(events: DataFrame, filename: bool = True, line_number: bool = True, off
 
 
 def json_lines(events: DataFrame) -> DataFrame:
-    """file_id, seq, rendered: begin, match and context, binary within end, in order; only files with output."""
+    """file_id, seq, rendered: begin, match, context, binary and end in order, for files with output; then a summary (file_id null)."""
     said = lambda c: F.struct(c.alias("text"))
     spans = F.transform("spans", lambda s: F.struct(said(s["text"]).alias("match"), s["start"].alias("start"), s["end"].alias("end")))
     data = F.struct(said(F.col("path")).alias("path"), said(F.concat("line", F.lit("\n"))).alias("lines"), "line_number", F.col("byte_offset").alias("absolute_offset"), spans.alias("submatches"))
@@ -51,4 +51,43 @@ def json_lines(events: DataFrame) -> DataFrame:
     per_file = events.groupBy("file_id", "path").agg(F.max("seq").alias("last"), F.max(F.when(F.col("kind") == "binary", F.col("byte_offset"))).alias("binary_offset"), F.sum((F.col("kind") == "match").cast("long")).alias("matched_lines"), F.sum(F.when(F.col("kind") == "match", F.size("spans")).otherwise(0)).alias("matches"))
     begin = per_file.select("file_id", F.lit(0).cast("long").alias("seq"), F.to_json(F.struct(F.lit("begin").alias("type"), F.struct(said(F.col("path")).alias("path")).alias("data"))).alias("rendered"))
     end = per_file.select("file_id", (F.col("last") + 2).alias("seq"), F.to_json(F.struct(F.lit("end").alias("type"), F.struct(said(F.col("path")).alias("path"), "binary_offset", F.struct("matched_lines", "matches").alias("stats")).alias("data"))).alias("rendered"))
-    return begin.unionByName(body).unionByName(end)
+    binary = events.where("kind = 'binary'").select("file_id", (F.col("seq") + 1).alias("seq"), F.to_json(F.struct(F.lit("binary").alias("type"), F.struct(said(F.col("path")).alias("path"), F.col("byte_offset").alias("offset")).alias("data"))).alias("rendered"))
+    totals = per_file.where("matched_lines > 0").agg(F.count("*").alias("searches_with_match"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("matched_lines", "matches")])
+    stats = F.struct(F.struct("searches_with_match", "matched_lines", "matches").alias("stats"))
+    summary = totals.select(F.lit(None).cast("long").alias("file_id"), F.lit(0).cast("long").alias("seq"), F.to_json(F.struct(F.lit("summary").alias("type"), stats.alias("data"))).alias("rendered"))
+    return begin.unionByName(body).unionByName(binary).unionByName(end).unionByName(summary)
+
+
+def shows_filename(streams: int, files: bool, asked: bool | None = None) -> bool:
+    """Whether lines carry the file's name: as asked for, otherwise unless only streams are searched."""
+    return asked if asked is not None else files or streams > 1
+
+
+def shows_line_number(context: bool = False, json: bool = False, column: bool = False, asked: bool | None = None) -> bool:
+    """Context, columns and JSON imply line numbers."""
+    return asked if asked is not None else context or json or column
+
+
+def counts(hits: DataFrame, filename: bool = True, separator: str = ":", null: bool = False) -> DataFrame:
+    """file_id, rendered of (file_id, path, hits)."""
+    name = [F.col("path"), F.lit("\0" if null else unescape(separator))] if filename else []
+    return hits.select("file_id", F.concat(*name, F.col("hits").cast("string")).alias("rendered"))
+
+
+def path_records(files: DataFrame, null: bool = False, root: str | None = None, separator: str = "/") -> DataFrame:
+    """file_id, rendered of (file_id, path); null: NUL ends each; root: paths are shown from it on."""
+    shown = F.col("path") if root is None else F.concat(F.lit(root.rstrip("/") + "/"), F.col("path"))
+    shown = shown if separator == "/" else F.translate(shown, "/", separator)
+    return files.select("file_id", F.concat(shown, F.lit("\0" if null else "")).alias("rendered"))
+
+
+def stats_text(stats: DataFrame) -> DataFrame:
+    """rendered, in the order of line: the statistics as lines of text."""
+    said = [("matches", "matches"), ("files_with_matches", "files contained matches"), ("files_searched", "files searched"), ("bytes_searched", "bytes searched")]
+    each = F.posexplode(F.array(*[F.concat(F.col(c).cast("string"), F.lit(" " + text)) for c, text in said]))
+    return stats.select(each.alias("line", "rendered"))
+
+
+def coloured(line: Column, java: str, start: str = "\x1b[1m\x1b[31m", stop: str = "\x1b[0m") -> Column:
+    """The line with its matches between terminal codes."""
+    return F.regexp_replace(line, F.lit(java), F.lit(f"{start}$0{stop}"))

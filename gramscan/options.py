@@ -26,6 +26,41 @@ class BinaryMode(Enum):
     TEXT = "text"
 
 
+class Mode(Enum):
+    LINES = "lines"
+    ONLY_MATCHING = "only_matching"
+    COUNT_LINES = "count_lines"
+    COUNT_MATCHES = "count_matches"
+    FILES_WITH_MATCHES = "files_with_matches"
+    FILES_WITHOUT_MATCH = "files_without_match"
+
+    @staticmethod
+    def resolve(flags: list[str], invert: bool = False) -> Mode:
+        """Of flags in their order (count, count-matches, files-with-matches, files-without-match, only-matching):
+        the last of the first four wins over only-matching; counted matches of inverted lines are counted lines."""
+        known = {"count": Mode.COUNT_LINES, "count-matches": Mode.COUNT_MATCHES, "files-with-matches": Mode.FILES_WITH_MATCHES, "files-without-match": Mode.FILES_WITHOUT_MATCH}
+        for f in flags:
+            if f not in known and f != "only-matching":
+                raise ValueError(f"unknown mode {f!r}")
+        chosen = next((known[f] for f in reversed(flags) if f in known), None)
+        only = "only-matching" in flags
+        if invert and (only and chosen in (None, Mode.COUNT_LINES) or chosen is Mode.COUNT_MATCHES):
+            return Mode.COUNT_LINES
+        if only and chosen is Mode.COUNT_LINES:
+            return Mode.COUNT_MATCHES
+        return chosen or (Mode.ONLY_MATCHING if only else Mode.LINES)
+
+
+def pattern_lines(text: str) -> list[str]:
+    """The patterns of a pattern file: a line each, trimmed; blank lines and those that begin with # are dropped."""
+    return [x for x in map(str.strip, text.splitlines()) if x and not x.startswith("#")]
+
+
+def config_arguments(text: str, arguments: list[str]) -> list[str]:
+    """The arguments of a configuration file, one a line, before those given; none of them with --no-config."""
+    return arguments if "--no-config" in arguments else [*pattern_lines(text), *arguments]
+
+
 @dataclass(frozen=True)
 class Query:
     """Patterns, OR-ed in their order, with search options."""
@@ -56,6 +91,16 @@ class Query:
     def of(*patterns: str, **options) -> Query:
         return Query(tuple(patterns), **options)
 
+    @staticmethod
+    def from_sources(options: list[str] = (), files: list[str] = (), positional: str | None = None, **more) -> Query:
+        """Patterns of options, then of the texts of pattern files; the positional one counts only if there are neither."""
+        patterns = [*options, *(p for text in files for p in pattern_lines(text))]
+        if not options and not files:
+            if positional is None:
+                raise ValueError("no pattern is given")
+            patterns = [positional]
+        return Query(tuple(patterns or [r"[^\s\S]"]), **more)  # pattern files without patterns match nothing
+
     def __post_init__(self):
         if self.max_count == 0:
             raise ValueError("max_count must be positive")

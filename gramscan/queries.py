@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,24 +50,135 @@ REQUIRED = r"[a-z]+ (?:MIT|Apache) License"
 DIGITS = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 
 
-def _by_index(spark: SparkSession, d: str, q: Query) -> Corpus:
-    corpus = _documents(spark, d)
-    ids = planner.narrow_in_place(corpus, q)
-    return Corpus(corpus.df.join(ids, "file_id", "left_semi"))
+_stores: dict[tuple, index.Store] = {}
+
+
+def _store(spark: SparkSession, d: str, name: str, make) -> index.Store:
+    """A store in the folder that all executors share, made once a session for a folder of tables."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _stores:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gramscan-")
+        store = index.Store(spark, f"{folder.rstrip('/')}/store-{name}-{uuid.uuid4().hex}")
+        make(store)
+        _stores[key] = store
+    return _stores[key]
+
+
+def _whole(spark: SparkSession, d: str) -> index.Store:
+    return _store(spark, d, "whole", lambda s: s.build(_documents(spark, d)))
+
+
+def _planned(spark: SparkSession, d: str, q: Query) -> planner.Plan:
+    return planner.plan(_documents(spark, d), q, _whole(spark, d))
 
 
 def narrowed_search(spark: SparkSession, d: str) -> DataFrame:
     q = Q(REQUIRED)
-    return _lines(S.grep(_by_index(spark, d, q), q))
+    return _lines(S.grep(_planned(spark, d, q).narrowed(), q))
 
 
 def narrowed_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _ids(planner.narrow_in_place(_documents(spark, d), Q(LITERAL)))
+    return _ids(_planned(spark, d, Q(LITERAL)).candidates)
 
 
 def narrowed_ignore_case(spark: SparkSession, d: str) -> DataFrame:
     q = Q(LITERAL, case=Case.INSENSITIVE)
-    return _lines(S.grep(_by_index(spark, d, q), q))
+    return _lines(S.grep(_planned(spark, d, q).narrowed(), q))
+
+
+def narrowed_in_place(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by grams that are taken on the fly, without a store."""
+    return _ids(planner.narrow_in_place(_documents(spark, d), Q(LITERAL)))
+
+
+def store_files(spark: SparkSession, d: str) -> DataFrame:
+    return _whole(spark, d).files().select(F.col("file_id").alias("doc_id"), "path", "size")
+
+
+def store_update(spark: SparkSession, d: str) -> DataFrame:
+    """A store that was built on half of the rows and then updated."""
+
+    def make(store: index.Store) -> None:
+        corpus = _documents(spark, d)
+        store.build(Corpus(corpus.df.where("file_id % 2 = 0")))
+        store.update(corpus)
+
+    q = Q(LITERAL)
+    return _lines(S.grep(planner.plan(_documents(spark, d), q, _store(spark, d, "updated", make)).narrowed(), q))
+
+
+def store_stale(spark: SparkSession, d: str) -> DataFrame:
+    """A store of texts that were edited since: edited and unknown files are candidates."""
+    old = F.when(F.col("file_id") % 3 == 0, F.lit("nothing yet")).otherwise(F.col("content"))
+    store = _store(spark, d, "stale", lambda s: s.build(Corpus(_documents(spark, d).df.where("file_id % 5 > 0").withColumn("content", old))))
+    q = Q(LITERAL)
+    return _lines(S.grep(planner.plan(_documents(spark, d), q, store, fresh=False).narrowed(), q))
+
+
+def store_complete_mode(spark: SparkSession, d: str) -> DataFrame:
+    """A mode that needs every file takes them from the store and narrows nothing."""
+    corpus, q = _documents(spark, d), Q(LITERAL)
+    plan = planner.plan(corpus, q, _whole(spark, d), mode="files_without_match")
+    return _ids(S.files_without_match(plan.narrowed(), q))
+
+
+def encoded_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every other text as UTF-16 bytes with a mark, found through the index and the exact tier."""
+    df = _documents(spark, d).df
+    data = F.when(F.col("file_id") % 2 == 0, F.encode("content", "UTF-16")).otherwise(F.encode("content", "UTF-8"))
+    corpus, q = Corpus(df.withColumn("content", data), text=False), Q(LITERAL)
+    store = _store(spark, d, "encoded", lambda s: s.build(corpus))
+    return _lines(exact.scan(planner.plan(corpus, q, store).narrowed(), q).where("kind = 'match'"))
+
+
+def risky_repetition(spark: SparkSession, d: str) -> DataFrame:
+    """A repeated group, which Java's engine would search with a stack frame for each turn."""
+    return _lines(S.grep(_documents(spark, d), Q(r"(?:an|er|th)+ing[ ,.]")))
+
+
+def count_records(spark: SparkSession, d: str) -> DataFrame:
+    corpus = _documents(spark, d)
+    hits = S.count_lines(corpus, Q("the")).join(corpus.df.select("file_id", "path"), "file_id")
+    return render.counts(hits).select(F.col("file_id").alias("doc_id"), "rendered")
+
+
+def path_records(spark: SparkSession, d: str) -> DataFrame:
+    corpus = _documents(spark, d)
+    hits = S.files_with_matches(corpus, Q(LITERAL)).join(corpus.df.select("file_id", "path"), "file_id")
+    return render.path_records(hits, root="/corpus").select(F.col("file_id").alias("doc_id"), "rendered")
+
+
+def stats_lines(spark: SparkSession, d: str) -> DataFrame:
+    return render.stats_text(S.stats(_documents(spark, d), Q("the"))).select(F.col("line").cast("long").alias("line"), "rendered")
+
+
+def hit_paths(spark: SparkSession, d: str) -> DataFrame:
+    return S.hit_paths(_documents(spark, d), Q(LITERAL))
+
+
+def pattern_files(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns of an option and of a pattern file with a comment and blank lines."""
+    q = Query.from_sources([LITERAL], ["# words\n\n  copyright \nlicen[sc]e\n"], "ignored")
+    return _lines(S.grep(_documents(spark, d), q))
+
+
+def size_filter(spark: SparkSession, d: str) -> DataFrame:
+    rules = Filter(max_size=2048, types=[("html", True)])
+    df = _pages(spark, d).df
+    return df.where(rules.column(F.col("path"), size=F.octet_length("content"))).select(F.col("file_id").alias("page_id"), "path")
+
+
+def line_anchors_crlf(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that end in CR LF: the pattern's end stands before the CR."""
+    df = _documents(spark, d).df.withColumn("content", F.regexp_replace("content", "\n", "\r\n"))
+    found = exact.scan(Corpus(df), Q(r"idiot[a-z .,]*$", crlf=True)).where("kind = 'match'")
+    return found.select(F.col("file_id").alias("doc_id"), "line_number", F.rtrim("line", F.lit("\r")).alias("line"))
+
+
+def multiline_events(spark: SparkSession, d: str) -> DataFrame:
+    """Every line that a match across lines touches."""
+    q = Q(r"\.\n[A-Z][a-z]+ the", multiline=True)
+    return exact.scan(_documents(spark, d), q).where("kind = 'match'").select(F.col("file_id").alias("doc_id"), "line_number")
 
 
 def gram_index(spark: SparkSession, d: str) -> DataFrame:
@@ -77,12 +190,11 @@ def gram_df(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lazy_merge(spark: SparkSession, d: str) -> DataFrame:
-    """An index that holds the even ids; the others are found by the walk that is merged in."""
-    corpus, q = _documents(spark, d), Q(LITERAL)
-    known = Corpus(corpus.df.where("file_id % 2 = 0"))
-    hits = planner.narrow_in_place(known, q)
-    rest = corpus.df.select("file_id").join(known.df.select("file_id"), "file_id", "left_anti")
-    return _lines(S.grep(Corpus(corpus.df.join(hits.unionByName(rest), "file_id", "left_semi")), q))
+    """A lazy index that holds the even ids; the others come from the walk that is merged in."""
+    meta = index.Meta(coverage="lazy")
+    store = _store(spark, d, "lazy", lambda s: s.build(Corpus(_documents(spark, d).df.where("file_id % 2 = 0")), meta))
+    q = Q(LITERAL)
+    return _lines(S.grep(planner.plan(_documents(spark, d), q, store).narrowed(), q))
 
 
 def byte_offsets(spark: SparkSession, d: str) -> DataFrame:
@@ -192,9 +304,9 @@ def vimgrep(spark: SparkSession, d: str) -> DataFrame:
 
 def index_kinds_intersected(spark: SparkSession, d: str) -> DataFrame:
     """Candidates that trigrams and 5-grams both admit."""
-    corpus = _documents(spark, d)
-    three, five = (planner.narrow_in_place(corpus, Q(LITERAL), index.IndexRecord(w)) for w in (3, 5))
-    return _ids(three.join(five, "file_id", "left_semi"))
+    meta = index.Meta(kinds=["trigram", "ngram-5"])
+    store = _store(spark, d, "kinds", lambda s: s.build(_documents(spark, d), meta))
+    return _ids(planner.plan(_documents(spark, d), Q(LITERAL), store).candidates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -223,7 +335,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "files_without_match": lambda s, d: _ids(S.files_without_match(doc(s, d), Q("the"))),
         "paths_listing": lambda s, d: S.paths(doc(s, d)).select(F.col("file_id").alias("doc_id"), "path"),
         "search_stats": lambda s, d: S.stats(doc(s, d), Q("the")),
-        **{f.__name__: f for f in (only_matching, replace_captures, byte_offsets, match_columns, context_before_after, passthru, gram_index, gram_df, narrowed_candidates, narrowed_search, narrowed_ignore_case, lazy_merge, type_glob_filter, scope_filter, sort_path, conversation_grep, events_json_grep, multiline_spans, exact_lines, rendered_text, rendered_json, regex_find, regex_find_iter, regex_captures, regex_split, regex_replacen, regex_set, vimgrep, index_kinds_intersected)},
+        **{f.__name__: f for f in (only_matching, replace_captures, byte_offsets, match_columns, context_before_after, passthru, gram_index, gram_df, narrowed_candidates, narrowed_search, narrowed_ignore_case, lazy_merge, type_glob_filter, scope_filter, sort_path, conversation_grep, events_json_grep, multiline_spans, exact_lines, rendered_text, rendered_json, regex_find, regex_find_iter, regex_captures, regex_split, regex_replacen, regex_set, vimgrep, index_kinds_intersected, narrowed_in_place, store_files, store_update, store_stale, store_complete_mode, encoded_files, risky_repetition, count_records, path_records, stats_lines, hit_paths, pattern_files, size_filter, line_anchors_crlf, multiline_events)},
     }
 
 
@@ -252,7 +364,36 @@ def oracle_sql() -> dict[str, str]:
     c AS (SELECT *, max(hit::INT) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS above, max(hit::INT) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS below FROM h),
     k AS (SELECT doc_id, line_number, CASE WHEN hit THEN 'match' WHEN above = 1 THEN 'after' WHEN below = 1 THEN 'before' END AS kind, line FROM c)
     SELECT doc_id, line_number, kind, coalesce(line_number - lag(line_number) OVER (PARTITION BY doc_id ORDER BY line_number) > 1, false) AS breaks, line FROM k WHERE kind IS NOT NULL"""
+    literal = _where(f"contains(line, '{LITERAL}')")
+    grams = f"SELECT doc_id FROM (SELECT doc_id, count(DISTINCT gram) AS c FROM ({identity}) WHERE gram IN (6906985, 6580591, 6909812) GROUP BY doc_id) WHERE c = 3 UNION SELECT doc_id FROM documents WHERE text IS NULL OR strlen(text) < 3"
+    said = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
+    path = f"'{{\"path\":{{\"text\":' || {said('CAST(doc_id AS VARCHAR)')} || '}}'"
+    json = f"""{_L}, o AS (SELECT *, CAST(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS BIGINT) AS byte_offset FROM l),
+    m AS (SELECT *, string_split(line, '{LITERAL}') AS p, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS k FROM o WHERE contains(line, '{LITERAL}')),
+    s AS (SELECT *, list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: strlen(x))) AS BIGINT) + 5 * (i - 1)) AS spots FROM m),
+    f AS (SELECT doc_id, max(k) AS last, count(*) AS matched_lines, CAST(sum(len(spots)) AS BIGINT) AS matches FROM s GROUP BY doc_id)
+    SELECT doc_id, CAST(k AS BIGINT) AS seq, '{{"type":"match","data":' || {path} || ',"lines":{{"text":' || {said('line || chr(10)')} || '}},"line_number":' || line_number || ',"absolute_offset":' || byte_offset || ',"submatches":[' ||
+      array_to_string(list_transform(spots, lambda x: '{{"match":{{"text":"{LITERAL}"}},"start":' || x || ',"end":' || (x + 5) || '}}'), ',') || ']}}}}' AS rendered FROM s
+    UNION ALL SELECT doc_id, 0, '{{"type":"begin","data":' || {path} || '}}}}' FROM f
+    UNION ALL SELECT doc_id, CAST(last + 1 AS BIGINT), '{{"type":"end","data":' || {path} || ',"stats":{{"matched_lines":' || matched_lines || ',"matches":' || matches || '}}}}}}' FROM f
+    UNION ALL SELECT NULL, 0, '{{"type":"summary","data":{{"stats":{{"searches_with_match":' || count(*) || ',"matched_lines":' || coalesce(sum(matched_lines), 0) || ',"matches":' || coalesce(sum(matches), 0) || '}}}}}}' FROM f"""
     return {
+        "rendered_json": json,
+        "narrowed_in_place": grams,
+        "store_files": "SELECT doc_id, CAST(doc_id AS VARCHAR) AS path, CAST(coalesce(strlen(text), 0) AS BIGINT) AS size FROM documents",
+        "store_update": literal,
+        "store_stale": literal,
+        "encoded_files": literal,
+        "store_complete_mode": f"SELECT doc_id FROM documents WHERE text IS NULL OR NOT contains(text, '{LITERAL}')",
+        "risky_repetition": _where("regexp_matches(line, '(an|er|th)+ing[ ,.]')"),
+        "count_records": f"{_L} SELECT doc_id, doc_id || ':' || count(*) AS rendered FROM l WHERE contains(line, 'the') GROUP BY doc_id",
+        "path_records": f"SELECT doc_id, '/corpus/' || doc_id AS rendered FROM documents WHERE contains(text, '{LITERAL}')",
+        "stats_lines": f"{_L}, c AS (SELECT doc_id, count(*) AS n FROM l WHERE contains(line, 'the') GROUP BY doc_id) SELECT CAST(0 AS BIGINT) AS line, coalesce(sum(n), 0) || ' matches' AS rendered FROM c UNION ALL SELECT 1, count(*) || ' files contained matches' FROM c UNION ALL SELECT 2, count(*) || ' files searched' FROM documents UNION ALL SELECT 3, sum(coalesce(strlen(text), 0)) || ' bytes searched' FROM documents",
+        "hit_paths": f"SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE contains(text, '{LITERAL}')",
+        "pattern_files": _where(f"regexp_matches(line, '{LITERAL}|copyright|licen[sc]e')"),
+        "size_filter": f"SELECT p.page_id, path FROM ({pages}) p JOIN pages USING (page_id) WHERE regexp_matches(path, '[.]html?$') AND coalesce(strlen(html), 0) <= 2048 AND NOT regexp_matches(path, '(^|/)[.][^/]')",
+        "line_anchors_crlf": _where("regexp_matches(line, 'idiot[a-z .,]*$')"),
+        "multiline_events": f"{_L}, n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_number) AS below, lag(line) OVER (PARTITION BY doc_id ORDER BY line_number) AS above FROM l) SELECT doc_id, line_number FROM n WHERE (line LIKE '%.' AND regexp_matches(below, '^[A-Z][a-z]+ the')) OR (above LIKE '%.' AND regexp_matches(line, '^[A-Z][a-z]+ the'))",
         "grep_literal": _where("contains(line, 'the')"),
         "grep_fixed": _where("contains(line, '2.0.')"),
         "grep_ignore_case": _where(f"regexp_matches(line, '{LITERAL}', 'i')"),
@@ -284,7 +425,7 @@ def oracle_sql() -> dict[str, str]:
         "passthru": f"{_L} SELECT doc_id, line_number, CASE WHEN {_THE} THEN 'match' ELSE 'other' END AS kind, line FROM l",
         "gram_index": identity,
         "gram_df": f"SELECT gram, count(*) AS df FROM ({lower}) GROUP BY gram",
-        "narrowed_candidates": f"SELECT doc_id FROM (SELECT doc_id, count(DISTINCT gram) AS c FROM ({identity}) WHERE gram IN (6906985, 6580591, 6909812) GROUP BY doc_id) WHERE c = 3 UNION SELECT doc_id FROM documents WHERE text IS NULL OR strlen(text) < 3",
+        "narrowed_candidates": grams,
         "narrowed_search": _where(f"regexp_matches(line, '{REQUIRED}')"),
         "narrowed_ignore_case": _where(f"regexp_matches(line, '{LITERAL}', 'i')"),
         "lazy_merge": _where(f"contains(line, '{LITERAL}')"),

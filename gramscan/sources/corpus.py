@@ -85,6 +85,12 @@ class Corpus:
         data = data.select(F.regexp_replace("path", "^file:/+", "file:/").alias("uri"), "content")
         return Corpus(names.join(data, "uri", "left").select("file_id", "path", "content", "explicit"), text=False)
 
+    @staticmethod
+    def listing(spark: SparkSession, root: str, scopes: list[str] | None = None, rules: Filter | None = None) -> DataFrame:
+        """file_id, path, size, explicit, modified, accessed, created of the files that ``from_files`` reads, under the same ids."""
+        rows = [(i, f.path, f.size, f.explicit, f.modified, f.accessed, f.created) for i, f in enumerate(walk(root, scopes or [], rules or Filter()))]
+        return spark.createDataFrame(rows, "file_id long, path string, size long, explicit boolean, modified double, accessed double, created double")
+
     def transformed(self, change: Callable[[str, bytes], bytes]) -> Corpus:
         """Contents through a function of (path, bytes): decompression, a preprocessor, decoding."""
 

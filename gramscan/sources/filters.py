@@ -9,11 +9,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A documented subset of the usual type names.
+#: Usual names of file types.
 TYPES: dict[str, list[str]] = {
     "c": ["*.c", "*.h"], "cpp": ["*.cpp", "*.cc", "*.cxx", "*.hpp", "*.hh"], "css": ["*.css", "*.scss"], "csv": ["*.csv"], "go": ["*.go"], "html": ["*.htm", "*.html"],
     "java": ["*.java"], "js": ["*.js", "*.jsx", "*.mjs"], "json": ["*.json", "*.jsonl"], "make": ["Makefile", "*.mk"], "md": ["*.md", "*.markdown"], "py": ["*.py", "*.pyi"],
-    "rust": ["*.rs"], "sh": ["*.sh", "*.bash"], "sql": ["*.sql"], "toml": ["*.toml"], "ts": ["*.ts", "*.tsx"], "txt": ["*.txt"], "xml": ["*.xml"], "yaml": ["*.yaml", "*.yml"],
+    "asm": ["*.asm", "*.s", "*.S"], "bat": ["*.bat"], "clojure": ["*.clj", "*.cljc", "*.cljs", "*.cljx"], "cmake": ["*.cmake", "CMakeLists.txt"], "cs": ["*.cs"], "cuda": ["*.cu", "*.cuh"], "d": ["*.d"], "dart": ["*.dart"], "diff": ["*.patch", "*.diff"],
+    "docker": ["*Dockerfile*"], "elixir": ["*.ex", "*.eex", "*.exs"], "elm": ["*.elm"], "erlang": ["*.erl", "*.hrl"], "fortran": ["*.f", "*.f77", "*.f90", "*.f95", "*.for"], "graphql": ["*.graphql"], "haskell": ["*.hs", "*.lhs"], "julia": ["*.jl"], "jupyter": ["*.ipynb"],
+    "kotlin": ["*.kt", "*.kts"], "less": ["*.less"], "license": ["COPYING", "COPYING[.-]*", "LICENSE", "LICENSE[.-]*", "NOTICE"], "lisp": ["*.el", "*.jl", "*.lisp", "*.lsp", "*.sc", "*.scm"], "lock": ["*.lock", "package-lock.json"], "log": ["*.log"], "lua": ["*.lua"],
+    "nix": ["*.nix"], "objc": ["*.h", "*.m"], "ocaml": ["*.ml", "*.mli", "*.mll", "*.mly"], "perl": ["*.pl", "*.perl", "*.plx", "*.pm", "*.t"], "php": ["*.php", "*.phtml"], "protobuf": ["*.proto"], "r": ["*.R", "*.r", "*.Rmd"], "ruby": ["Gemfile", "*.gemspec", "Rakefile", "*.rb"],
+    "sass": ["*.sass", "*.scss"], "scala": ["*.scala", "*.sbt"], "svg": ["*.svg"], "swift": ["*.swift"], "tex": ["*.tex", "*.ltx", "*.cls", "*.sty", "*.bib"], "tf": ["*.tf"], "vim": ["*.vim"], "vue": ["*.vue"], "zig": ["*.zig"], "rust": ["*.rs"], "sh": ["*.sh", "*.bash"], "sql": ["*.sql"], "toml": ["*.toml"], "ts": ["*.ts", "*.tsx"], "txt": ["*.txt"], "xml": ["*.xml"], "yaml": ["*.yaml", "*.yml"],
 }
 
 
@@ -113,10 +117,12 @@ class Filter:
         lead = "(?i)" if self.iglobs else ""
         return [(lead + glob_regex(g.removeprefix("!")), not g.startswith("!")) for g in [*self.globs, *self.iglobs]]
 
-    def column(self, path: Column, walked: bool = True) -> Column:
-        """The rules that need only a path, as one native expression."""
-        out = F.lit(True)
-        if walked and not self.hidden:
+    def column(self, path: Column, walked: bool = True, size: Column | None = None, admission: str = "full") -> Column:
+        """The rules that need a path and a size, as one native expression.  admission "indexed": hidden names were dealt with when the index was built."""
+        if self.max_size is not None and size is None:
+            raise ValueError("a size limit needs the size's column")
+        out = F.lit(True) if self.max_size is None else size <= self.max_size
+        if walked and not self.hidden and admission == "full":
             out = out & ~path.rlike(r"(^|/)\.[^/]")
         for x in self.exclude:
             if x:
@@ -183,6 +189,9 @@ class Found:
     path: str
     size: int
     explicit: bool
+    modified: float = 0.0
+    accessed: float = 0.0
+    created: float = 0.0
 
 
 def _rules_of(folder: str, base: str, names: list[str]) -> list[tuple[str, str, bool, bool]]:
@@ -191,7 +200,7 @@ def _rules_of(folder: str, base: str, names: list[str]) -> list[tuple[str, str,
     for name in names:
         try:
             lines = open(os.path.join(folder, name), encoding="utf-8", errors="replace").read().splitlines()
-        except OSError:
+        except (FileNotFoundError, NotADirectoryError, IsADirectoryError):
             continue
         for line in lines:
             line = line.rstrip() if not line.endswith("\\ ") else line
@@ -209,6 +218,9 @@ def walk(root: str, scopes: list[str], rules: Filter) -> list[Found]:
     git = not rules.require_git or os.path.isdir(os.path.join(root, ".git"))
     names = [*([".gitignore"] if rules.ignore_vcs and git else []), *([".ignore", ".rgignore"] if rules.ignore_dot else [])]
     top: list = []
+    if rules.ignore_vcs and git:  # the user's own ignore file counts least
+        own = os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "git")
+        top += _rules_of(own, "", ["ignore"])
     if rules.ignore_exclude and git:
         top += _rules_of(os.path.join(root, ".git/info"), "", ["exclude"])
     if rules.ignore_parent:
@@ -233,9 +245,9 @@ def walk(root: str, scopes: list[str], rules: Filter) -> list[Found]:
         return verdict
 
     def add(path: str, full: str, explicit: bool, walked: bool) -> None:
-        size = os.stat(full).st_size
-        if (rules.max_size is None or size <= rules.max_size) and rules.admits(path, walked):
-            out.setdefault(path, Found(path, size, explicit))
+        s = os.stat(full)
+        if (rules.max_size is None or s.st_size <= rules.max_size) and rules.admits(path, walked):
+            out.setdefault(path, Found(path, s.st_size, explicit, s.st_mtime, s.st_atime, getattr(s, "st_birthtime", s.st_ctime)))
 
     device = os.stat(root).st_dev
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,3 +72,16 @@ class Freshness:
 def stream_counts(stream: DataFrame, q: Query) -> DataFrame:
     """Running hits by file, for update or complete output."""
     return S.grep(Corpus(stream), q).groupBy("file_id").agg(F.count("*").alias("hits"))
+
+
+def until_idle(query: StreamingQuery, seconds: float = 120.0, step: float = 1.0) -> None:
+    """Stops a query that has seen no row for so long; 0: never, it then runs until it ends."""
+    last, seen = time.monotonic(), None
+    while query.isActive:
+        if query.awaitTermination(step):
+            return
+        busy = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+        if busy[-1:] != seen:
+            seen, last = busy[-1:], time.monotonic()
+        elif seconds and time.monotonic() - last >= seconds:
+            query.stop()
