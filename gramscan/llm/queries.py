@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, html_extract, license_scan, lm_score, minhash, pii, toxicity, warc
+from . import bpe, decontam, exact_dedup, html_extract, license_scan, lm_score, minhash, oracles, pii, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op4_exact_dedup": r"""
-            WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \x09-\x0D]+', ' ', 'g') AS t FROM documents),
-            g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
-            SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""",
-    }
+    return {"op4_exact_dedup": oracles.EXACT_DEDUP, "op6_license_scan": oracles.license_scan(), "op7_warc": oracles.WARC, "op9_minhash": oracles.MINHASH}
