@@ -365,7 +365,8 @@ def oracle_sql() -> dict[str, str]:
     k AS (SELECT doc_id, line_number, CASE WHEN hit THEN 'match' WHEN above = 1 THEN 'after' WHEN below = 1 THEN 'before' END AS kind, line FROM c)
     SELECT doc_id, line_number, kind, coalesce(line_number - lag(line_number) OVER (PARTITION BY doc_id ORDER BY line_number) > 1, false) AS breaks, line FROM k WHERE kind IS NOT NULL"""
     literal = _where(f"contains(line, '{LITERAL}')")
-    grams = f"SELECT doc_id FROM (SELECT doc_id, count(DISTINCT gram) AS c FROM ({identity}) WHERE gram IN (6906985, 6580591, 6909812) GROUP BY doc_id) WHERE c = 3 UNION SELECT doc_id FROM documents WHERE text IS NULL OR strlen(text) < 3"
+    grams = " AND ".join(f"contains(text, '{LITERAL[k : k + 3]}')" for k in range(len(LITERAL) - 2))
+    grams = f"SELECT doc_id FROM documents WHERE {grams} OR text IS NULL OR strlen(text) < 3"
     said = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
     path = f"'{{\"path\":{{\"text\":' || {said('CAST(doc_id AS VARCHAR)')} || '}}'"
     json = f"""{_L}, o AS (SELECT *, CAST(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) - strlen(line) - 1 AS BIGINT) AS byte_offset FROM l),
