@@ -29,10 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from .shared import fresh
-from .textops import raw, release
+from .textops import raw, release, runs
 
 #: Stretches of a generation that a task remembers; it has two, and what is met again moves to the young one.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
+#: Texts that are encoded together, about; a longer text stands alone.
+BLOCK_BYTES = 1 << 19
 _NONE = np.int32(2**31 - 1)
 _GAP = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
@@ -236,11 +238,11 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             column = batch.column("text")
             buf, offsets = raw(column)
-            # white space to split() but not to Unicode: 0x1C-0x1F
-            simple = not bool(((buf >= 0x1C) & (buf <= 0x1F)).any())
-            step = 200  # texts at a time, to bound memory
-            for lo in range(0, len(column), step):
-                got = bpe.encode([t or "" for t in column.slice(lo, step).to_pylist()], simple)
+            for lo, hi in runs(offsets, BLOCK_BYTES):
+                block = buf[offsets[lo] : offsets[hi]]
+                # white space to split() but not to Unicode: 0x1C-0x1F
+                simple = not bool(((block >= 0x1C) & (block <= 0x1F)).any())
+                got = bpe.encode([t or "" for t in column.slice(lo, hi - lo).to_pylist()], simple)
                 n = pa.array([g[0] for g in got], pa.int64())
                 columns = [batch.column("doc_id").slice(lo, len(got)), n, *[pa.array([hashlib.sha256(g[k].encode("utf-8")).hexdigest() for g in got], pa.string()) for k in (1, 2)]]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

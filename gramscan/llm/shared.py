@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A side whose measured size is at most this is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: list[str] = []
 
 
@@ -56,7 +57,13 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def fresh(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that columns with clashing names can't disturb."""
+    """Only the named columns, so that columns with clashing names can't disturb.
+
+    Python reads them in batches of about 4 MB of text, which bounds executors' memory outside the heap;
+    a session that sets another bound keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":  # Spark's default
+        conf.set(_BATCH, "4m")
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 

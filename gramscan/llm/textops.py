@@ -126,6 +126,8 @@ def release() -> None:
             _libc.append(ctypes.CDLL(None).malloc_trim)
         except (OSError, AttributeError):  # not glibc
             _libc.append(lambda _: 0)
+    if len(_powers[0]) > 1 << 20:  # a long text has made them as long
+        _powers[:] = np.ones(1, _U), np.ones(1, _U)
     pa.default_memory_pool().release_unused()
     _libc[0](0)
 
