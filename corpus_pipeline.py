@@ -34,7 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=50_000)  # executors still hold what earlier stages took
 
 
 STAGES = [

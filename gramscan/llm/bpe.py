@@ -32,7 +32,7 @@ from .shared import fresh
 from .textops import raw, release, runs
 
 #: Stretches of a generation that a task remembers; it has two, and what is met again moves to the young one.
-REMEMBERED = 50_000
+REMEMBERED = 100_000
 #: Texts that are encoded together, about; a longer text stands alone.
 BLOCK_BYTES = 1 << 19
 _NONE = np.int32(2**31 - 1)
@@ -70,6 +70,7 @@ class Bpe:
         self.inner, self.final = (np.array([self.vocab[c + e] for c in byte_characters()], np.int32) for e in ("", self.end))
         self.pattern = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = "[\\p{L}]+" in self.pattern.pattern.split("|")  # a run of letters is a word
+        self.remembered = REMEMBERED
         self.forget()
 
     def split(self, stretch: str, special: bool = True) -> list[str | int]:
@@ -191,9 +192,9 @@ class Bpe:
     def encode(self, texts: list[str], simple: bool = False) -> list[tuple[int, str, str]]:
         """(tokens, ids by spaces, decoded text) of each text; simple: Python's own split is exact here."""
         cut = [t.split() if simple else [s for s in _GAP.split(t) if s] for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.old_known = {}, self.known
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > self.remembered:
             self.words, self.old_words = {}, self.words
         new = self.lacking(set().union(*cut), self.known, self.old_known)
         if new:
@@ -217,10 +218,11 @@ def loaded(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with_ids: and ids, decoded.
 
-    path: the tokenizer file, at the same place on every executor."""
+    path: the tokenizer file, at the same place on every executor; remembered: stretches of a
+    generation, which trades memory for time and changes no result."""
     rows = fresh(docs, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -235,6 +237,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def encoded(batches):
         bpe = loaded(path)
+        bpe.remembered = remembered
         for batch in batches:
             column = batch.column("text")
             buf, offsets = raw(column)
