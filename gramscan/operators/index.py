@@ -4,8 +4,9 @@ A snapshot is ``snapshots/<id>/{files,postings}``; ``CURRENT`` names the live on
 replaced by one atomic rename after the tables are complete and their rows were counted.  A writer
 holds ``LOCK``, which names its time; one older than ``STALE`` seconds is taken over.  A
 reader that holds a snapshot's name keeps it through one later update.  Every path goes through Hadoop's file
-systems, so a store that only Spark reaches will do.  Postings are range-partitioned and
-sorted by gram: a lookup reads the row groups whose range fits.
+systems, so a store that only Spark reaches will do.  A task writes the posting lists of its
+files, sorted by kind and gram within runs of about 8 MB of text, and nothing is shuffled: a lookup
+reads, of each run, the pages whose range fits.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.literals import fold
 from ..sources.corpus import Corpus, decode
 
-VERSION = 1
+VERSION = 2
 MOST_GRAMS = 24
+#: Rows of a Parquet page of postings: the least that a lookup reads of a run.
+PAGE_ROWS = 2_000
 #: Seconds after which a writer's lock counts as left behind.
 STALE = 6 * 3600
 
@@ -89,54 +92,149 @@ def folded(data: bytes) -> bytes:
     return data.translate(_FOLD).replace("\u212a".encode(), b"k").replace("\u017f".encode(), b"s")
 
 
-#: Postings that a task gathers before it emits their lists.
-GATHERED = 2_000_000
+#: Bytes of text that a task gathers to one run before it emits their grams.
+GATHERED = 8_000_000
+
+
+def _joined_grams(files: list[bytes], width: int, rank: np.ndarray, bits: int) -> np.ndarray:
+    """Distinct ``gram << bits | rank of the file`` of all windows within a file, in order."""
+    b = np.frombuffer(b"".join(files), np.uint8)
+    sizes = np.array([len(f) for f in files], np.int64)
+    if len(b) < width:
+        return np.zeros(0, np.int64)
+    g = b[: len(b) - width + 1].astype(np.int64)
+    for k in range(1, width):
+        g <<= 8
+        g |= b[k : len(b) - width + 1 + k]
+    inside = np.ones(len(g), bool)
+    ends = np.cumsum(sizes)
+    for k in range(1, width):
+        at = ends - k
+        inside[at[(at >= 0) & (at < len(g))]] = False
+    g = g[inside]
+    g <<= bits
+    g |= np.repeat(rank, np.maximum(sizes - width + 1, 0))
+    g.sort()
+    return g[np.flatnonzero(np.diff(g, prepend=-1))]
+
+
+def _runs(batches, records: list[IndexRecord], text: bool):
+    """(kind, grams, index into ids, ids) of each run of files and kind, sorted; ids: the run's, sorted, each once.
+
+    Decodes each file once, as a search does."""
+    most = 1 << (63 - 8 * max(r.width for r in records))  # a gram and a file share a 63-bit key
+
+    def flush():
+        ids, rank = np.unique(np.array([i for i, _ in held], np.int64), return_inverse=True)
+        bits = int(len(ids) - 1).bit_length()
+        forms = {}
+        for k, record in enumerate(records):
+            if record.norm not in forms:
+                forms[record.norm] = [data if record.norm == "identity" else folded(data) for _, data in held]
+            keys = _joined_grams(forms[record.norm], record.width, rank, bits)
+            if len(keys):
+                yield k, keys >> bits, keys & ((1 << bits) - 1), ids
+
+    held, n = [], 0
+    for batch in batches:
+        for i, data in zip(batch.column("file_id").to_pylist(), batch.column("content"), strict=True):
+            data = data.as_buffer().to_pybytes()
+            data = data if text else decode(data)
+            held.append((i, data))
+            n += len(data)
+            if n >= GATHERED or len(held) >= most:
+                yield from flush()
+                held, n = [], 0
+    if held:
+        yield from flush()
+
+
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned 64-bit numbers as LEB128: the bytes, and how many each number has."""
+    n = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        more = values >= np.uint64(1 << 7 * k)
+        if not more.any():
+            break
+        n += more
+    at = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), np.uint8)
+    for k in range(int(n.max(initial=0))):
+        has = np.flatnonzero(n > k)
+        out[at[has] + k] = (values[has] >> np.uint64(7 * k)).astype(np.uint8) & 127 | np.where(n[has] > k + 1, 128, 0).astype(np.uint8)
+    return out, n
+
+
+def numbers(data: bytes) -> np.ndarray:
+    """What ``varints`` wrote."""
+    b = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(b < 128)
+    first = np.append(0, last[:-1] + 1) if len(last) else last
+    out = np.zeros(len(last), np.uint64)
+    for k in range(int((last - first).max(initial=-1)) + 1):
+        has = np.flatnonzero(first + k <= last)
+        out[has] |= (b[first[has] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+    return out
+
+
+def _contents(corpus: Corpus) -> DataFrame:
+    return corpus.df.select("file_id", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
+
+
+LISTS = "gram long, n int, base long, gaps binary"
 
 
 def posting_lists(corpus: Corpus, records: list[IndexRecord]) -> DataFrame:
-    """kind, gram, ids: each posting in one list; a frequent gram has many lists, of a task's run of files each.
+    """kind and LISTS: a list for each gram of a run of files, each run by kind and gram.
 
-    One pass decodes each file as a search does and takes the grams of all kinds."""
-    df = corpus.df.select("file_id", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
-    names, text = ["kind", "gram", "ids"], corpus.text
+    A list has n file ids, as gaps from the one before, the first from ``base`` (the run's least id), in LEB128.
+    One pass takes the grams of all kinds."""
+    text = corpus.text
 
     def run(batches):
-        def flush():
-            sizes = [len(g) for _, _, g in held]
-            kind, ids = (np.repeat(np.array([h[k] for h in held], np.int64), sizes) for k in (0, 1))
-            gram = np.concatenate([g for *_, g in held])
-            order = np.lexsort((ids, gram, kind))
-            kind, gram, ids = kind[order], gram[order], ids[order]
-            new = np.flatnonzero((np.diff(kind, prepend=-1) != 0) | (np.diff(gram, prepend=-1) != 0))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(ids)), pa.int32()), pa.array(ids))
+        for kind, gram, at, ids in _runs(batches, records, text):
+            past = (ids - ids[0]).view(np.uint64)[at]  # wraps where ids are more than 63 bits apart, and back
+            new = np.flatnonzero(np.diff(gram, prepend=-1))
+            gaps = np.diff(past, prepend=np.uint64(0))
+            gaps[new] = past[new]
+            data, sizes = varints(gaps)
+            ends = np.append(np.cumsum(sizes)[new] - sizes[new], len(data)).astype(np.int32)
+            lists = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            n = np.diff(np.append(new, len(gram))).astype(np.int32)
+            whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(new), kind, np.int32)), pa.array(gram[new]), pa.array(n), pa.array(np.full(len(new), ids[0])), lists], names=["kind", "gram", "n", "base", "gaps"])
             for lo in range(0, len(new), 20_000):
-                part = slice(lo, lo + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(kind[new[part]].astype(np.int32)), pa.array(gram[new[part]]), lists[part]], names=names)
+                yield whole.slice(lo, 20_000)
+
+    return _contents(corpus).mapInArrow(run, f"kind int, {LISTS}")
+
 
-        held, n = [], 0
+def listed(lists: DataFrame) -> DataFrame:
+    """gram, file_id of posting lists."""
+
+    def run(batches):
         for batch in batches:
-            for i, data in zip(batch.column("file_id").to_pylist(), batch.column("content"), strict=True):
-                data = data.as_buffer().to_pybytes()
-                data = data if text else decode(data)
-                forms = {"identity": data}
-                for k, record in enumerate(records):
-                    if record.norm not in forms:
-                        forms[record.norm] = folded(data)
-                    g = file_grams(forms[record.norm], record.width)
-                    held.append((k, i, g))
-                    n += len(g)
-                if n > GATHERED:
-                    yield from flush()
-                    held, n = [], 0
-        if n:
-            yield from flush()
-
-    return df.mapInArrow(run, "kind int, gram long, ids array<long>")
+            if not batch.num_rows:
+                continue
+            n, gram, base = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "gram", "base"))
+            gaps = numbers(b"".join(batch.column("gaps").to_pylist()))
+            first, total = np.cumsum(n) - n, np.cumsum(gaps)
+            ids = total + np.repeat(base.view(np.uint64) - total[first] + gaps[first], n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gram, n)), pa.array(ids.view(np.int64))], names=["gram", "file_id"])
+
+    return lists.select("gram", "n", "base", "gaps").mapInArrow(run, "gram long, file_id long")
 
 
 def postings(corpus: Corpus, record: IndexRecord) -> DataFrame:
     """gram, file_id: each once."""
-    return posting_lists(corpus, [record]).select("gram", F.explode("ids").alias("file_id"))
+    text = corpus.text
+
+    def run(batches):
+        for _, gram, at, ids in _runs(batches, [record], text):
+            for lo in range(0, len(gram), 100_000):
+                part = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(gram[part]), pa.array(ids[at[part]])], names=["gram", "file_id"])
+
+    return _contents(corpus).mapInArrow(run, "gram long, file_id long")
 
 
 def files_of(corpus: Corpus) -> DataFrame:
@@ -188,18 +286,23 @@ def _evaluate(plan, record: IndexRecord) -> Column:
     return out
 
 
-def candidates(postings_df: DataFrame, files: DataFrame, query, record: IndexRecord) -> DataFrame | None:
-    """file_id of every file that can match; files shorter than a gram always can.  None: all files."""
+#: Values of an IN that the Parquet reader looks up one by one; of more it looks up only the range (``inFilterThreshold``).
+IN_FILTER = 10
+
+
+def candidates(lists: DataFrame, files: DataFrame, query, record: IndexRecord) -> DataFrame | None:
+    """file_id of every file that can match, by posting lists; files shorter than a gram always can.  None: all files."""
     found = lookup(query, record) if query is not None else None
     if found is None:
         return None
     grams, near, plan = found
     rule = F.lit(False)
-    if grams:
-        rule = F.col("gram").isin(sorted(grams))
+    order = sorted(grams)
+    for lo in range(0, len(order), IN_FILTER):
+        rule = rule | F.col("gram").isin(order[lo : lo + IN_FILTER])
     for p in near:
         rule = rule | F.col("gram").between(p << 8, (p << 8) + 255) | (F.pmod("gram", F.lit(1 << 8 * (record.width - 1))) == p)
-    hits = postings_df.where(rule).groupBy("file_id").agg(F.collect_set("gram").alias("grams")).where(_evaluate(plan, record)).select("file_id")
+    hits = listed(lists.where(rule)).groupBy("file_id").agg(F.collect_set("gram").alias("grams")).where(_evaluate(plan, record)).select("file_id")
     return hits.unionByName(files.where(F.col("size") < record.width).select("file_id")).distinct()
 
 
@@ -240,15 +343,15 @@ class Store:
             raise IndexError_(f"store version {meta.version} is not {VERSION}")
         return meta
 
-    def build(self, corpus: Corpus, meta: Meta | None = None, partitions: int | None = None) -> str:
+    def build(self, corpus: Corpus, meta: Meta | None = None) -> str:
         if self.current is not None:
             raise IndexError_("an index exists already; update it")
-        return self._publish(corpus, meta or Meta(), partitions)
+        return self._publish(corpus, meta or Meta())
 
-    def update(self, corpus: Corpus, partitions: int | None = None) -> str:
+    def update(self, corpus: Corpus) -> str:
         if self.current is None:
             raise IndexError_("there is no index to update")
-        return self._publish(corpus, self.meta, partitions)
+        return self._publish(corpus, self.meta)
 
     def _lock(self) -> None:
         path = self._path(f"{self.folder}/LOCK")
@@ -269,28 +372,22 @@ class Store:
         context = hadoop.FileContext.getFileContext(self._path(self.folder).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         context.rename(self._path(f"{self.folder}/{name}.tmp"), self._path(f"{self.folder}/{name}"), how)
 
-    def _publish(self, corpus: Corpus, meta: Meta, partitions: int | None) -> str:
+    def _publish(self, corpus: Corpus, meta: Meta) -> str:
         self.fs.mkdirs(self._path(self.folder))
         self._lock()
         try:
             stamp = time.time_ns()
             name = f"{stamp // 10**9:x}-{stamp % 10**9:x}"
             tmp = f"{self.folder}/snapshots/tmp-{name}"
-            n = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             records = [IndexRecord.parse(k) for k in meta.kinds]
             files_of(corpus).write.parquet(f"{tmp}/files")
-            # written once, since range partitioning reads its input twice
-            posting_lists(corpus, records).write.parquet(f"{tmp}/flat")
-            flat = self.spark.read.parquet(f"{tmp}/flat")
             kind = F.element_at(F.array(*[F.lit(r.name) for r in records]), F.col("kind") + 1)
-            first = F.col("ids")[0]  # so a frequent gram's lists spread over partitions
-            dealt = flat.repartitionByRange(n, F.col("kind"), F.col("gram"), first).sortWithinPartitions(F.col("kind"), F.col("gram"), first)
-            dealt.withColumn("kind", kind).write.partitionBy("kind").parquet(f"{tmp}/postings")
-            size = F.coalesce(F.sum(F.size("ids")), F.lit(0))
-            wanted, there = (df.agg(size).first()[0] for df in (flat, self.spark.read.schema("gram long, ids array<long>, kind string").parquet(f"{tmp}/postings")))
+            seen = Observation()
+            lists = posting_lists(corpus, records).withColumn("kind", kind).observe(seen, F.sum("n").alias("n"))
+            lists.write.option("compression", "zstd").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{tmp}/postings")
+            wanted, there = seen.get.get("n") or 0, self._lists(f"{tmp}/postings").agg(F.sum("n")).first()[0] or 0
             if there != wanted:
                 raise IndexError_(f"{there} of {wanted} postings were written")
-            self.fs.delete(self._path(f"{tmp}/flat"), True)
             self.fs.rename(self._path(tmp), self._path(f"{self.folder}/snapshots/{name}"))
             old = self.current
             self._replace("meta.json", json.dumps(asdict(meta)))
@@ -305,8 +402,12 @@ class Store:
     def files(self, snapshot: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/snapshots/{snapshot or self.current}/files")
 
+    def _lists(self, path: str) -> DataFrame:
+        return self.spark.read.schema(f"kind string, {LISTS}").parquet(path)
+
+    def lists(self, record: IndexRecord, snapshot: str | None = None) -> DataFrame:
+        """The posting lists of a kind; a gram has one for each run of files."""
+        return self._lists(f"{self.folder}/snapshots/{snapshot or self.current}/postings").where(F.col("kind") == record.name)
+
     def postings(self, record: IndexRecord, snapshot: str | None = None) -> DataFrame:
-        path = f"{self.folder}/snapshots/{snapshot or self.current}/postings/kind={record.name}"
-        if not self.fs.exists(self._path(path)):  # no file had grams
-            return self.spark.createDataFrame([], "gram long, file_id long")
-        return self.spark.read.schema("gram long, ids array<long>").parquet(path).select("gram", F.explode("ids").alias("file_id"))
+        return listed(self.lists(record, snapshot))

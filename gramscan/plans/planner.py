@@ -79,7 +79,7 @@ def plan(corpus: Corpus, q: Query, store: I.Store | None = None, mode: str = "li
         norm = "ascii-lower" if folded else "identity"
         sets = []
         for record in map(I.IndexRecord.parse, meta.kinds if meta else [r.name for r in I.DEFAULT]):
-            if record.norm == norm and (got := I.candidates(store.postings(record), store.files(), literals, record)) is not None:
+            if record.norm == norm and (got := I.candidates(store.lists(record), store.files(), literals, record)) is not None:
                 sets.append((record.name, got))
         if not sets:
             out.notes.append("no index kind restricts the pattern")
@@ -103,4 +103,4 @@ def narrow_in_place(corpus: Corpus, q: Query, record: I.IndexRecord | None = Non
         return None
     record = record or I.IndexRecord(norm="ascii-lower" if folded else "identity")
     files = corpus.df.select("file_id", F.coalesce(F.octet_length("content"), F.lit(0)).alias("size"))
-    return I.candidates(I.postings(corpus, record), files, literals, record)
+    return I.candidates(I.posting_lists(corpus, [record]), files, literals, record)
