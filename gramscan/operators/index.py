@@ -5,14 +5,16 @@ replaced by one atomic rename after the tables are complete and their rows were
 holds ``LOCK``, which names its time; one older than ``STALE`` seconds is taken over.  A
 reader that holds a snapshot's name keeps it through one later update.  Every path goes through Hadoop's file
 systems, so a store that only Spark reaches will do.  A task writes the posting lists of its
-files, sorted by kind and gram within runs of about 8 MB of text, and nothing is shuffled: a lookup
-reads, of each run, the pages whose range fits.
+files, sorted by kind and gram within runs of about 8 MB of text, as blocks of about 16,000 postings, and
+nothing is shuffled: a lookup reads, of each run, the blocks whose range fits.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 from ..functions.literals import fold
 from ..sources.corpus import Corpus, decode
 
-VERSION = 2
+VERSION = 3
 MOST_GRAMS = 24
-#: Rows of a Parquet page of postings: the least that a lookup reads of a run.
-PAGE_ROWS = 2_000
+#: Postings of a block, up to the end of the last list that begins in it: the least that a lookup reads of a run.
+BLOCK = 1 << 14
 #: Seconds after which a writer's lock counts as left behind.
 STALE = 6 * 3600
 
@@ -96,26 +98,43 @@ def folded(data: bytes) -> bytes:
 GATHERED = 8_000_000
 
 
+def _windows(b: np.ndarray, width: int) -> np.ndarray:
+    """Big-endian windows of bytes, in as few bytes as hold them."""
+    if width == 1:
+        return b
+    half = width // 2
+    high, low = _windows(b, width - half), _windows(b, half)
+    g = high[: max(0, len(b) - width + 1)].astype(np.uint16 if width == 2 else np.uint32 if width < 5 else np.int64)
+    g <<= 8 * half
+    g |= low[width - half :]
+    return g
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """True where a value differs from the one before; the first does."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return new
+
+
 def _joined_grams(files: list[bytes], width: int, rank: np.ndarray, bits: int) -> np.ndarray:
     """Distinct ``gram << bits | rank of the file`` of all windows within a file, in order."""
     b = np.frombuffer(b"".join(files), np.uint8)
     sizes = np.array([len(f) for f in files], np.int64)
-    if len(b) < width:
+    n = len(b) - width + 1
+    if n < 1:
         return np.zeros(0, np.int64)
-    g = b[: len(b) - width + 1].astype(np.int64)
-    for k in range(1, width):
-        g <<= 8
-        g |= b[k : len(b) - width + 1 + k]
-    inside = np.ones(len(g), bool)
+    g = _windows(b, width).astype(np.int64)
+    g <<= bits
+    g |= np.repeat(rank.astype(np.int32), sizes)[:n]
     ends = np.cumsum(sizes)
     for k in range(1, width):
         at = ends - k
-        inside[at[(at >= 0) & (at < len(g))]] = False
-    g = g[inside]
-    g <<= bits
-    g |= np.repeat(rank, np.maximum(sizes - width + 1, 0))
+        g[at[(at >= 0) & (at < n)]] = -1  # a window over the end of a file
     g.sort()
-    return g[np.flatnonzero(np.diff(g, prepend=-1))]
+    new = _changes(g)
+    new[0] = g[0] >= 0
+    return g[new]
 
 
 def _runs(batches, records: list[IndexRecord], text: bool):
@@ -133,7 +152,9 @@ def _runs(batches, records: list[IndexRecord], text: bool):
                 forms[record.norm] = [data if record.norm == "identity" else folded(data) for _, data in held]
             keys = _joined_grams(forms[record.norm], record.width, rank, bits)
             if len(keys):
-                yield k, keys >> bits, keys & ((1 << bits) - 1), ids
+                at = keys & ((1 << bits) - 1)
+                keys >>= bits
+                yield k, keys, at, ids
 
     held, n = [], 0
     for batch in batches:
@@ -151,15 +172,18 @@ def _runs(batches, records: list[IndexRecord], text: bool):
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unsigned 64-bit numbers as LEB128: the bytes, and how many each number has."""
-    n = np.ones(len(values), np.int64)
+    n = np.ones(len(values), np.int8)
     for k in range(1, 10):
         more = values >= np.uint64(1 << 7 * k)
         if not more.any():
             break
         n += more
-    at = np.cumsum(n) - n
-    out = np.zeros(int(n.sum()), np.uint8)
-    for k in range(int(n.max(initial=0))):
+    if n.max(initial=1) == 1:
+        return values.astype(np.uint8), n
+    at = np.cumsum(n, dtype=np.int64) - n
+    out = np.zeros(int(at[-1] + n[-1]), np.uint8)
+    out[at] = values.astype(np.uint8) & 127 | (n > 1).view(np.uint8) << 7
+    for k in range(1, int(n.max())):
         has = np.flatnonzero(n > k)
         out[at[has] + k] = (values[has] >> np.uint64(7 * k)).astype(np.uint8) & 127 | np.where(n[has] > k + 1, 128, 0).astype(np.uint8)
     return out, n
@@ -177,51 +201,65 @@ def numbers(data: bytes) -> np.ndarray:
     return out
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def _contents(corpus: Corpus) -> DataFrame:
+    """Python reads them in batches of about 4 MB, which bounds executors' memory outside the heap; a session
+    that sets another bound than Spark's default keeps it."""
+    conf = corpus.df.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":
+        conf.set(_BATCH, "4m")
     return corpus.df.select("file_id", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
 
 
-LISTS = "gram long, n int, base long, gaps binary"
+LISTS = "lo long, hi long, n long, base long, heads binary, gaps binary"
 
 
 def posting_lists(corpus: Corpus, records: list[IndexRecord]) -> DataFrame:
-    """kind and LISTS: a list for each gram of a run of files, each run by kind and gram.
+    """kind and LISTS: blocks of lists, one list for each gram of a run of files, each run by kind and gram.
 
-    A list has n file ids, as gaps from the one before, the first from ``base`` (the run's least id), in LEB128.
-    One pass takes the grams of all kinds."""
+    A block has the lists of grams from ``lo`` to ``hi`` with n file ids in all.  Its heads are the gaps between
+    grams, the first from ``lo``, and then the lists' lengths; the file ids are gaps from the one before, the first
+    of a list from ``base`` (the run's least id).  All are in LEB128.  One pass takes the grams of all kinds."""
     text = corpus.text
 
     def run(batches):
         for kind, gram, at, ids in _runs(batches, records, text):
             past = (ids - ids[0]).view(np.uint64)[at]  # wraps where ids are more than 63 bits apart, and back
-            new = np.flatnonzero(np.diff(gram, prepend=-1))
-            gaps = np.diff(past, prepend=np.uint64(0))
+            new, gaps = np.flatnonzero(_changes(gram)), past.copy()
+            gaps[1:] -= past[:-1]
             gaps[new] = past[new]
-            data, sizes = varints(gaps)
-            ends = np.append(np.cumsum(sizes)[new] - sizes[new], len(data)).astype(np.int32)
-            lists = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-            n = np.diff(np.append(new, len(gram))).astype(np.int32)
-            whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(new), kind, np.int32)), pa.array(gram[new]), pa.array(n), pa.array(np.full(len(new), ids[0])), lists], names=["kind", "gram", "n", "base", "gaps"])
-            for lo in range(0, len(new), 20_000):
-                yield whole.slice(lo, 20_000)
+            n, gram = np.diff(np.append(new, len(gram))), gram[new]
+            cuts = np.append(np.flatnonzero(np.diff(new // BLOCK, prepend=-1)), len(new))
+            first = np.append(new, len(gaps))[cuts]
+            heads, lists = [], []
+            for k, (lo, hi) in enumerate(itertools.pairwise(cuts.tolist())):
+                heads.append(varints(np.concatenate([np.diff(gram[lo:hi], prepend=gram[lo]), n[lo:hi]]).view(np.uint64))[0].tobytes())
+                lists.append(varints(gaps[first[k] : first[k + 1]])[0].tobytes())
+            columns = [np.full(len(heads), kind, np.int32), gram[cuts[:-1]], gram[cuts[1:] - 1], np.diff(first), np.full(len(heads), ids[0])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(heads, pa.binary()), pa.array(lists, pa.binary())], names=["kind", "lo", "hi", "n", "base", "heads", "gaps"])
 
     return _contents(corpus).mapInArrow(run, f"kind int, {LISTS}")
 
 
-def listed(lists: DataFrame) -> DataFrame:
-    """gram, file_id of posting lists."""
+def listed(lists: DataFrame, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """gram, file_id of posting lists; wanted: which of some grams, None all."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, gram, base = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "gram", "base"))
-            gaps = numbers(b"".join(batch.column("gaps").to_pylist()))
-            first, total = np.cumsum(n) - n, np.cumsum(gaps)
-            ids = total + np.repeat(base.view(np.uint64) - total[first] + gaps[first], n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gram, n)), pa.array(ids.view(np.int64))], names=["gram", "file_id"])
+            for lo, base, heads, gaps in zip(batch.column("lo").to_pylist(), batch.column("base").to_numpy().view(np.uint64), batch.column("heads"), batch.column("gaps"), strict=True):
+                head = numbers(heads.as_buffer()).view(np.int64)
+                gram, n = lo + np.cumsum(head[: len(head) // 2]), head[len(head) // 2 :]
+                keep = wanted(gram) if wanted else np.ones(len(gram), bool)
+                if not keep.any():
+                    continue
+                past = numbers(gaps.as_buffer())
+                first, total = np.cumsum(n) - n, np.cumsum(past)
+                ids = (total + np.repeat(base - total[first] + past[first], n)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gram[keep], n[keep])), pa.array(ids[np.repeat(keep, n)])], names=["gram", "file_id"])
 
-    return lists.select("gram", "n", "base", "gaps").mapInArrow(run, "gram long, file_id long")
+    return lists.select("lo", "base", "heads", "gaps").mapInArrow(run, "gram long, file_id long")
 
 
 def postings(corpus: Corpus, record: IndexRecord) -> DataFrame:
@@ -286,8 +324,8 @@ def _evaluate(plan, record: IndexRecord) -> Column:
     return out
 
 
-#: Values of an IN that the Parquet reader looks up one by one; of more it looks up only the range (``inFilterThreshold``).
-IN_FILTER = 10
+#: Ranges of grams that a lookup gives the Parquet reader; more grams share ranges.
+RANGES = 48
 
 
 def candidates(lists: DataFrame, files: DataFrame, query, record: IndexRecord) -> DataFrame | None:
@@ -296,13 +334,15 @@ def candidates(lists: DataFrame, files: DataFrame, query, record: IndexRecord) -
     if found is None:
         return None
     grams, near, plan = found
-    rule = F.lit(False)
-    order = sorted(grams)
-    for lo in range(0, len(order), IN_FILTER):
-        rule = rule | F.col("gram").isin(order[lo : lo + IN_FILTER])
-    for p in near:
-        rule = rule | F.col("gram").between(p << 8, (p << 8) + 255) | (F.pmod("gram", F.lit(1 << 8 * (record.width - 1))) == p)
-    hits = listed(lists.where(rule)).groupBy("file_id").agg(F.collect_set("gram").alias("grams")).where(_evaluate(plan, record)).select("file_id")
+    order, ends, wide = np.array(sorted(grams), np.int64), np.array(sorted(set(near)), np.int64), 1 << 8 * (record.width - 1)
+
+    def wanted(gram):
+        return np.isin(gram, order) | np.isin(gram >> 8, ends) | np.isin(gram % wide, ends)
+
+    rule = F.lit(bool(near))  # what ends with a literal stands anywhere
+    for part in np.array_split(order, min(RANGES, len(order))) if len(order) and not near else []:
+        rule = rule | ((F.col("lo") <= int(part[-1])) & (F.col("hi") >= int(part[0])))
+    hits = listed(lists.where(rule), wanted).groupBy("file_id").agg(F.collect_set("gram").alias("grams")).where(_evaluate(plan, record)).select("file_id")
     return hits.unionByName(files.where(F.col("size") < record.width).select("file_id")).distinct()
 
 
@@ -384,7 +424,7 @@ class Store:
             kind = F.element_at(F.array(*[F.lit(r.name) for r in records]), F.col("kind") + 1)
             seen = Observation()
             lists = posting_lists(corpus, records).withColumn("kind", kind).observe(seen, F.sum("n").alias("n"))
-            lists.write.option("compression", "zstd").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{tmp}/postings")
+            lists.write.option("compression", "zstd").option("parquet.page.row.count.limit", 1).parquet(f"{tmp}/postings")
             wanted, there = seen.get.get("n") or 0, self._lists(f"{tmp}/postings").agg(F.sum("n")).first()[0] or 0
             if there != wanted:
                 raise IndexError_(f"{there} of {wanted} postings were written")
@@ -406,7 +446,7 @@ class Store:
         return self.spark.read.schema(f"kind string, {LISTS}").parquet(path)
 
     def lists(self, record: IndexRecord, snapshot: str | None = None) -> DataFrame:
-        """The posting lists of a kind; a gram has one for each run of files."""
+        """Blocks of the posting lists of a kind; a gram has a list for each run of files."""
         return self._lists(f"{self.folder}/snapshots/{snapshot or self.current}/postings").where(F.col("kind") == record.name)
 
     def postings(self, record: IndexRecord, snapshot: str | None = None) -> DataFrame:
